@@ -22,12 +22,14 @@ def median(value: str | Column) -> Column:
 
 
 def pooled_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, accuracy: int = SKETCH_ACCURACY
+    df: DataFrame, keys: Sequence[str], value: str, q: float, out: str,
+    accuracy: int = SKETCH_ACCURACY, few_keys: bool = True,
 ) -> DataFrame:
     """One row per key with the linearly interpolated quantile `q` of the non-null `value`s.
 
     The bracket is four sketch errors wide on both sides, so it holds about 8 / accuracy of the group and
-    certainly the wanted rank. The key itself must have few distinct values (channels).
+    certainly the wanted rank. `few_keys` says that the keys are a fixed vocabulary or a calendar, so that the
+    sketches may be broadcast; otherwise they are joined like any other table.
     """
     keys = list(keys)
     data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
@@ -42,8 +44,7 @@ def pooled_quantile(
         (F.col("_min") if edges[0] == 0.0 else F.col("_e")[0]).alias("_lo"),
         (F.col("_max") if edges[1] == 1.0 else F.col("_e")[1]).alias("_hi"),
     )
-    # one row per channel: the broadcast is as long as the list of channels
-    bracketed = data.join(F.broadcast(sketch), keys).where(F.col("_v") <= F.col("_hi"))
+    bracketed = data.join(F.broadcast(sketch) if few_keys else sketch, keys).where(F.col("_v") <= F.col("_hi"))
     # everything below the bracket collapses into a single counted row per key, map side
     inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
     counted = bracketed.groupBy(*keys, "_pos", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))

@@ -130,7 +130,11 @@ MIDNIGHT_HOURS = [22, 23]
 DURATION_EDGES = [0, 3, 24, 168]
 DURATION_LABELS = ["short", "medium", "long", "very_long"]
 DISTANCE_EDGES_KM = [0, 25, 50, 100, 200, 500, 2000]
-GAP_DAY_EDGES = [0, 1, 3, 7, 14, 30, 365]
+DISTANCE_LABELS = ["0-25km", "25-50km", "50-100km", "100-200km", "200-500km", ">500km"]
+GAP_DAY_EDGES = [0, 1, 2, 3, 5, 7, 14, 30, 365]
+GAP_DAY_LABELS = ["0-1d", "1-2d", "2-3d", "3-5d", "5-7d", "7-14d", "14-30d", ">30d"]
+WEEKDAYS = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+OFFLINE_THRESHOLDS = [0.5, 0.7, 0.8, 0.9, 1.0]
 EARTH_RADIUS_KM = 6371.0
 REGION_SPLIT_LONGITUDE = 16.0
 TIGHT_SYNC_SECONDS = 120.0

@@ -35,10 +35,10 @@ def chunked_previous(df: DataFrame, keys: Sequence[str], time: str, chunk_hours:
     inner = W.partitionBy(*keys, "_chunk").orderBy(time)
     chunks = data.groupBy(*keys, "_chunk").agg(F.max(time).alias("_last"))
     before = chunks.withColumn(
-        "_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_chunk"))).drop("_last")
+        "_chunk_before", F.lag("_last").over(W.partitionBy(*keys).orderBy("_chunk"))).drop("_last")
     previous = F.lag(time).over(inner)
     return data.withColumn("_prev", previous).join(before, [*keys, "_chunk"], "left").withColumn(
-        out, F.coalesce("_prev", "_before")).drop("_prev", "_before", "_chunk")
+        out, F.coalesce("_prev", "_chunk_before")).drop("_prev", "_chunk_before", "_chunk")
 
 
 def interval_join(

@@ -118,10 +118,11 @@ def reference_coverage(spark, folder):
         obs, event_log.registry(spark, folder), "2024-01-01 12:00:00", "2024-01-30 18:00:00", time="obs_time_utc")
 
 
-@query("column_fill", "column non_empty:i", " UNION ALL ".join(
-    f"SELECT '{m}' AS \"column\", count({m}) AS non_empty FROM hours" for m in ["station_id", "hour_utc", *M]))
+@query("column_fill", "column_name non_empty:i", " UNION ALL ".join(
+    f"SELECT '{m}' AS column_name, count({m}) AS non_empty FROM hours" for m in ["station_id", "hour_utc", *M]))
 def column_fill(spark, folder):
-    return shape.column_fill(event_log.station_hours(spark, folder).select("station_id", "hour_utc", *M))
+    return shape.column_fill(event_log.station_hours(spark, folder).select("station_id", "hour_utc", *M)).withColumnRenamed(
+        "column", "column_name")
 
 
 @query("station_metadata", "station_id latitude:f longitude:f elevation_m:f obs_time_utc:t value:f", """
@@ -188,7 +189,7 @@ def missingness_by_variable(spark, folder):
        + " FROM hours WHERE data_present = 1 GROUP BY 1) h USING (station_id)")
 def station_missingness(spark, folder):
     net = Network(spark, folder)
-    return R.station_missingness(net.hours, net.enriched)
+    return R.station_missingness(net.stored_states, net.enriched)
 
 
 @query("timeline_segments", "station_id band start_utc:t end_utc:t", f"""
@@ -229,7 +230,7 @@ def events_per_station(spark, folder):
 
 @query("neighbour_station_counts", "start_utc:t station_count:i", "SELECT * FROM near_counts")
 def neighbour_station_counts(spark, folder):
-    return A.stations_starting_near(Network(spark, folder).raw_events, WINDOW_HOURS)
+    return A.stations_starting_near(Network(spark, folder).stored_events, WINDOW_HOURS)
 
 
 WINDOW = ("window_id outage_class window_start_utc:t window_end_utc:t backfill_start_utc:t backfill_end_utc:t station_count:i n_events:i "

@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 from telewatch.plans import oracle  # noqa: F401
-from telewatch.plans import availability_queries  # noqa: F401
+from telewatch.plans import availability_queries, investigation_queries  # noqa: F401
 from telewatch.plans.catalog import QUERIES, Query, oracle_text, spark_result
 
 
