@@ -7,7 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 from telewatch.plans import oracle  # noqa: F401
-from telewatch.plans import anomaly_queries, availability_queries, investigation_queries  # noqa: F401
+from telewatch.plans import (  # noqa: F401
+    anomaly_queries, availability_queries, investigation_queries, review_queries,
+)
 from telewatch.plans.catalog import QUERIES, Query, oracle_text, spark_result
 
 
