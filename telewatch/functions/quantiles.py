@@ -38,12 +38,15 @@ def pooled_quantile(
     sketch = data.groupBy(*keys).agg(
         F.percentile_approx("_v", edges, accuracy).alias("_e"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count("_v").alias("_n"),
-    ).select(
-        *keys, "_n",
-        (F.lit(q) * (F.col("_n") - 1)).alias("_pos"),
-        (F.col("_min") if edges[0] == 0.0 else F.col("_e")[0]).alias("_lo"),
-        (F.col("_max") if edges[1] == 1.0 else F.col("_e")[1]).alias("_hi"),
     )
+    # a small group is its own bracket; in a large one the slack is at least forty ranks on either side
+    whole = F.col("_n") <= 10 * accuracy
+    low = F.lit(edges[0] == 0.0) | whole
+    high = F.lit(edges[1] == 1.0) | whole
+    sketch = sketch.select(
+        *keys, (F.lit(q) * (F.col("_n") - 1)).alias("_pos"),
+        F.when(low, F.col("_min")).otherwise(F.col("_e")[0]).alias("_lo"),
+        F.when(high, F.col("_max")).otherwise(F.col("_e")[1]).alias("_hi"))
     bracketed = data.join(F.broadcast(sketch) if few_keys else sketch, keys).where(F.col("_v") <= F.col("_hi"))
     # everything below the bracket collapses into a single counted row per key, map side
     inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +89,21 @@ def write_stage(df: DataFrame, root: str, table: str, stage: str, mode: str = "o
     return path
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="telewatch-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir. Only a local session may go without one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_folder()
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write `df` once as Parquet below the shared checkpoint folder and read it back.
 
@@ -94,9 +111,6 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     executors, are read with column pruning, and give the optimiser their real size for join selection.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
