@@ -26,6 +26,14 @@ def seconds(ts: str | Column) -> Column:
     return F.unix_micros(col(ts)) / F.lit(1_000_000.0)
 
 
+def beside(df: DataFrame, *globals_: DataFrame) -> DataFrame:
+    """`df` with the columns of global aggregates, each of which has exactly one row, read as scalar subqueries."""
+    for one in globals_:
+        value = one.select(F.struct(*one.columns).alias("row")).scalar()
+        df = df.withColumns({c: value[c] for c in one.columns})
+    return df
+
+
 def micros(ts: str | Column) -> Column:
     return F.unix_micros(col(ts))
 

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telewatch.functions import vocab as V
-from telewatch.functions.columns import tokens
+from telewatch.functions.columns import beside, tokens
 from telewatch.sources.tables import materialise
 
 KNOWN_GROUPS = sorted(set(V.SENSOR_GROUPS.values()))
@@ -42,7 +42,7 @@ def episode_features(episodes: DataFrame) -> DataFrame:
     numbers["min_rolling_variance"] = F.coalesce(F.col("min_rolling_variance"), F.col("_largest"))
     ids = ["station_id", "start_hour", "end_hour"]
     cells = [flags[c].cast("double").alias(c) if c in flags else numbers[c].alias(c) for c in FEATURES]
-    return episodes.join(F.broadcast(largest)).select(*ids, *cells)  # largest: a one-row aggregate
+    return beside(episodes, largest).select(*ids, *cells)
 
 
 def standardise(features: DataFrame, columns: Sequence[str] = tuple(FEATURES)) -> DataFrame:
@@ -54,7 +54,7 @@ def standardise(features: DataFrame, columns: Sequence[str] = tuple(FEATURES)) -
         return F.when(spread > 0, (F.col(c) - F.col(f"_m_{c}")) / spread).otherwise(0.0)
 
     rest = [c for c in features.columns if c not in columns]
-    return features.join(F.broadcast(stats)).select(*rest, *[scaled(c).alias(c) for c in columns])  # one-row aggregate
+    return beside(features, stats).select(*rest, *[scaled(c).alias(c) for c in columns])
 
 
 # --- work inside tasks ------------------------------------------------------------------------

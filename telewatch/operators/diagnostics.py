@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telewatch.functions import vocab as V
-from telewatch.functions.columns import tokens
+from telewatch.functions.columns import beside, tokens
 from telewatch.functions.quantiles import median
 from telewatch.operators.clustering import MAX_EPISODES, label_sweep, numbered_points
 
@@ -85,7 +85,7 @@ def event_totals(events: DataFrame, scores: DataFrame) -> DataFrame:
     flagged = scores.agg(F.count_if("flag").alias("flagged_hours"))
     found = events.agg(rows_of().alias("events"), median(d).alias("median_hours"), F.max(d).alias("max_hours"),
                        F.count_if(d >= LONG_HOURS).alias("long_events"))
-    return found.join(F.broadcast(flagged)).withColumn(  # two one-row aggregates
+    return beside(found, flagged).withColumn(
         "events_per_flagged_hour", F.when(F.col("flagged_hours") > 0, F.col("events") / F.col("flagged_hours")).otherwise(0.0))
 
 
@@ -100,7 +100,7 @@ def episode_totals(episodes: DataFrame, events: DataFrame) -> DataFrame:
     before = events.agg(rows_of().alias("events"))
     found = episodes.agg(rows_of().alias("episodes"), median(d).alias("median_hours"), F.max(d).alias("max_hours"),
                          F.count_if(d >= LONG_HOURS).alias("long_episodes"))
-    return found.join(F.broadcast(before)).withColumn(  # two one-row aggregates
+    return beside(found, before).withColumn(
         "reduction", F.when(F.col("events") > 0, 1.0 - F.col("episodes") / F.col("events")).otherwise(0.0))
 
 

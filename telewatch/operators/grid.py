@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from telewatch.functions import vocab as V
-from telewatch.functions.columns import floor_time, iso_utc
+from telewatch.functions.columns import beside, floor_time, iso_utc
 
 
 def latest_per_bin(
@@ -55,8 +55,7 @@ def expand(bounds: DataFrame, step_seconds: int, start: Column, end: Column, out
 
 def utc_grid(registry: DataFrame, end: DataFrame, step_seconds: int, out: str = "expected_time_utc") -> DataFrame:
     """UTC midnight of `start_date` up to the last bin of the end date, for every registered station."""
-    # `end` is a one-row aggregate, the only kind of table that is joined without a key
-    bounds = registry.select("station_id", F.col("start_date").cast("timestamp").alias("_start")).join(F.broadcast(end))
+    bounds = beside(registry.select("station_id", F.col("start_date").cast("timestamp").alias("_start")), end)
     last = F.col("end_date").cast("timestamp") + F.expr(f"INTERVAL 1 DAY - INTERVAL '{step_seconds}' SECOND")
     return expand(bounds, step_seconds, F.col("_start"), last, out)
 
@@ -75,7 +74,7 @@ def local_grid(registry: DataFrame, binned: DataFrame, end: DataFrame, step_seco
         F.min(out).alias("_first"), F.max(out).alias("_last"),
         F.min_by("timezone", F.when(F.col("timezone").isNotNull(), F.col(out))).alias("_zone"),
     )
-    bounds = registry.select("station_id", "start_date").join(seen, "station_id", "left").join(F.broadcast(end))
+    bounds = beside(registry.select("station_id", "start_date").join(seen, "station_id", "left"), end)
     zone = F.coalesce("_zone", F.lit(V.DEFAULT_TIMEZONE))
     start, last = local_day_bounds(F.col("start_date"), F.col("end_date"), zone, step_seconds)
     return expand(bounds, step_seconds, F.least(start, "_first"), F.greatest(last, "_last"), out)

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telewatch.functions import vocab as V
-from telewatch.functions.columns import has_token, is_true, tokens
+from telewatch.functions.columns import beside, has_token, is_true, tokens
 from telewatch.operators.intervals import with_all_labels
 from telewatch.sources.tables import materialise
 
@@ -77,7 +77,7 @@ def noise_picks(clusters: DataFrame, sample: int, sustained_hours: int) -> DataF
     check = noise.where(~long).orderBy(F.desc_nulls_last("max_abs_zscore"), "start_hour", "station_id").limit(sample).withColumns({
         "role": F.lit("noise_check"), "_section": F.lit(2), "_d": F.coalesce(-F.col("max_abs_zscore"), F.lit(LAST))})
     zero = F.lit(0).cast("long")
-    return sustained.unionByName(check).join(F.broadcast(size)).withColumns({"_a": zero, "_b": zero, "_c": F.lit("")})
+    return beside(sustained.unionByName(check), size).withColumns({"_a": zero, "_b": zero, "_c": F.lit("")})
 
 
 def limit_picks(clusters: DataFrame, selected: DataFrame) -> DataFrame:

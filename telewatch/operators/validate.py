@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telewatch.functions import vocab as V
-from telewatch.functions.columns import is_blank
+from telewatch.functions.columns import beside, is_blank
 
 SCHEMA = "name string, status string, message string"
 
@@ -102,17 +102,9 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg((rows_of() - 1).alias("_more")).agg(F.coalesce(F.sum("_more"), F.lit(0)).alias("duplicates"))
 
 
-def one_row(*parts: DataFrame) -> DataFrame:
-    """Side by side: tables that are global aggregates, so each has exactly one row."""
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(F.broadcast(p))
-    return out
-
-
 def raw_checks(raw: DataFrame, registry: DataFrame) -> DataFrame:
     valid = F.coalesce(F.col("qc_status").cast("string").isin("-1", "0", "1"), F.lit(False))
-    n = one_row(
+    n = beside(
         raw.agg(rows_of().alias("rows"), F.count_if(~valid).alias("qc"), F.count_if(is_blank("obs_time_utc")).alias("no_time")),
         station_differences(raw, registry), metadata_mismatches(raw, registry), duplicate_keys(raw, ["station_id", "obs_time_utc"]))
     return read_off(n, [
@@ -142,7 +134,7 @@ def gap_checks(gap: DataFrame, raw: DataFrame, registry: DataFrame) -> DataFrame
                      F.count_if(~here & ~gone).alias("presence"), F.count_if((gone & (binned != 0)) | (here & (binned < 1))).alias("bins"),
                      filled.alias("filled"))
     per_station = station_differences(station_counts(mine), station_counts(raw), "rows").withColumnRenamed("differing_stations", "unequal")
-    n = one_row(totals, raw.agg(rows_of().alias("raw_rows")), station_differences(gap, registry), per_station, metadata_mismatches(gap, registry))
+    n = beside(totals, raw.agg(rows_of().alias("raw_rows")), station_differences(gap, registry), per_station, metadata_mismatches(gap, registry))
     return read_off(n, [
         ("gap_total_rows_positive", F.col("rows") > 0, "Gap-filled pooled rows", F.col("rows")),
         ("gap_present_rows_equal_exact_rows", F.col("present") == F.col("raw_rows"), "Gap present rows", F.col("present")),
@@ -174,7 +166,7 @@ def station_file_checks(raw_files: DataFrame, gap_files: DataFrame, raw: DataFra
     def unequal(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
         return station_differences(a, b, "rows").withColumnRenamed("differing_stations", name)
 
-    n = one_row(
+    n = beside(
         raw_files.agg(F.countDistinct("file_station_id").alias("raw_n"), other.alias("raw_other")),
         gap_files.agg(F.countDistinct("file_station_id").alias("gap_n"), other.alias("gap_other")),
         unequal(per_file(raw_files), station_counts(raw), "raw_unequal"), unequal(per_file(gap_files), station_counts(gap), "gap_unequal"),
@@ -196,7 +188,7 @@ def canonical_checks(df: DataFrame, expected_rows: int | None = None, expected_s
     plain = F.date_format(hour, "yyyy-MM-dd HH:mm:ss")
     same = F.col("hour_utc").eqNullSafe(F.col("timestamp_utc_dt")) & plain.eqNullSafe(F.col("timestamp_utc"))
     p = F.col("data_present")
-    n = one_row(
+    n = beside(
         df.agg(rows_of().alias("rows"), F.countDistinct("station_id").alias("stations"), F.count_if(hour.isNull()).alias("bad_hour"),
                F.count_if(~F.coalesce(F.col("hour_utc").cast("string").endswith("+00:00"), F.lit(False))).alias("no_suffix"),
                F.count_if(~same).alias("unequal"), F.count_if(p.isNotNull() & ~p.isin(0, 1)).alias("presence"),

@@ -85,8 +85,7 @@ def outsiders(spark, folder):
     top = A.largest_windows(windows, 1)
     eve = top.select((F.col("window_start_utc") - F.expr("INTERVAL 1 HOUR")).alias("eve"))
     inside = A.window_members(net.stored_events, top)
-    dated = states.select("station_id", "hour_utc", "row_state").join(F.broadcast(eve), F.col("hour_utc") == F.col("eve"))
-    return Q.states_of_outsiders(dated, inside, F.col("eve"))
+    return Q.states_of_outsiders(states, inside, eve.scalar())
 
 
 @query("states_of_outsiders", "station_id row_state", "SELECT * FROM outsiders")

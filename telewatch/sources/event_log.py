@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from telewatch.functions import vocab as V
-from telewatch.functions.columns import floor_time
+from telewatch.functions.columns import beside, floor_time
 from telewatch.operators.grid import utc_grid
 from telewatch.sources.tables import read_parquet
 
@@ -65,7 +65,7 @@ def registry(spark: SparkSession, folder: str) -> DataFrame:
     silent = load(spark, folder, "region", "r_regionkey").select(
         F.concat(F.lit("R"), F.lpad(F.col("r_regionkey").cast("string"), 6, "0")).alias("station_id"),
         (F.lit(900000) + F.col("r_regionkey")).cast("long").alias("station_no"))
-    everyone = live.unionByName(silent.join(F.broadcast(opening)))  # opening: a one-row aggregate
+    everyone = live.unionByName(beside(silent, opening))
     n = F.col("station_no")
     return everyone.select(
         "station_id", F.concat(F.lit("Station "), n.cast("string")).alias("station_name"),
