@@ -39,8 +39,8 @@ def pooled_quantile(
         F.percentile_approx("_v", edges, accuracy).alias("_e"),
         F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count("_v").alias("_n"),
     )
-    # a small group is its own bracket; in a large one the slack is at least forty ranks on either side
-    whole = F.col("_n") <= 10 * accuracy
+    # a small group is its own bracket; in a larger one the slack is at least eight ranks, of which the sketch may err two
+    whole = F.col("_n") <= 2 * accuracy
     low = F.lit(edges[0] == 0.0) | whole
     high = F.lit(edges[1] == 1.0) | whole
     sketch = sketch.select(
