@@ -34,7 +34,7 @@ def drop_redundant(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 def prefer_order(df: DataFrame, first: list[str]) -> DataFrame:
     """Columns named in `first` that exist, then the others as they are."""
     lead = [c for c in first if c in df.columns]
-    return df.select(*lead, *[c for c in df.columns if c not in lead])
+    return df.select(*[F.col(f"`{c}`") for c in [*lead, *[c for c in df.columns if c not in lead]]])
 
 
 def attach_station_metadata(
