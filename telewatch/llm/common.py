@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +19,7 @@ def prepare(spark: SparkSession) -> None:
     """Times are UTC, and Arrow batches stay small however long the texts are."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -40,6 +43,14 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | d
     return df.mapInArrow(run, schema)
 
 
+def kept_in_process(name: str, make: Callable):
+    """What `make` gives, made once per worker process: later tasks of the same process find it again."""
+    place = sys.modules.setdefault("telewatch_llm_kept", types.ModuleType("telewatch_llm_kept"))
+    if not hasattr(place, name):
+        setattr(place, name, make())
+    return getattr(place, name)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

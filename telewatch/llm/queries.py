@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from telewatch.llm import bpe, pii, records, warc
+from telewatch.llm import bpe, neardup, pii, quality, records, rules, warc
 from telewatch.llm.common import load, prepare
 
 BYTE_BPE, MULTI_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -35,6 +35,22 @@ def op1(spark, folder):
     return records.token_records(spark, load(spark, folder, "documents"), BYTE_BPE)
 
 
+@register("op2_quality_classifier")
+def op2(spark, folder):
+    docs = load(spark, folder, "documents")
+    return quality.score(docs, quality.fit(docs, load(spark, folder, "labels"), quality.in_fold()))
+
+
+@register("op3_near_duplicates")
+def op3(spark, folder):
+    return neardup.near_duplicates(load(spark, folder, "documents"), size=3, percent=85)
+
+
+@register("op4_quality_rules", rules.sql("v2"))
+def op4(spark, folder):
+    return rules.verdicts(load(spark, folder, "documents"), "v2")
+
+
 @register("op5_personal_data")
 def op5(spark, folder):
     return pii.report(load(spark, folder, "documents"))
