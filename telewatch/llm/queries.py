@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from telewatch.llm import bpe, decontaminate, neardup, pii, quality, records, rules, warc
-from telewatch.llm.common import load, prepare
+from telewatch.llm import bpe, decontaminate, lm, neardup, pii, quality, records, rules, warc
+from telewatch.llm.common import fold_of, load, prepare
 
 BYTE_BPE, MULTI_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -61,6 +61,12 @@ def op7(spark, folder):
     return decontaminate.report(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
 
 
+@register("op8_language_model")
+def op8(spark, folder):
+    model, stored = lm.train(load(spark, folder, "documents"), fold_of("doc_id", 5) == 1)
+    return lm.score(stored, model)
+
+
 @register("op9_web_archives", """
     WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
     d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
