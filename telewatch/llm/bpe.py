@@ -184,7 +184,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", kee
         encoder = None
         for batch in batches:
             if batch.num_rows:
-                encoder = encoder or ChunkEncoder(Merger(read_ranks(ranks_path), pattern).many)
+                encoder = encoder or C.kept_in_process(f"bpe {ranks_path} {pattern}", lambda: ChunkEncoder(Merger(read_ranks(ranks_path), pattern).many))
                 ids = pa.array(encoder.encode(C.texts(batch.column(len(kept)))), pa.binary())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*[f"k{i}" for i in range(len(kept))], "ids"])
 
@@ -202,7 +202,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
         table = None
         for batch in batches:
             if batch.num_rows:
-                table = table or {rank: token for token, rank in read_ranks(ranks_path).items()}
+                table = table or C.kept_in_process(f"tokens {ranks_path}", lambda: {rank: token for token, rank in read_ranks(ranks_path).items()})
                 found = [b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.column(len(kept)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "decoded"])
 

@@ -23,7 +23,7 @@ def cut(text: str) -> list[str]:
 class ChunkEncoder:
     """`encode_many` turns strings into little-endian uint32 ids, as bytes. Known chunks are kept up to `keep` of them."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], keep: int = 600_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], keep: int = 400_000):
         self.encode_many, self.keep = encode_many, keep
         self.first: dict[str, bytes] = {"": b""}
         self.later: dict[str, bytes] = {}

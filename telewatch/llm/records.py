@@ -188,7 +188,7 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int = 0, key: str =
             if not batch.num_rows:
                 continue
             if sink is None:
-                encoder, size = library_encoder(vocabulary)
+                encoder, size = C.kept_in_process(f"records {vocabulary}", lambda: library_encoder(vocabulary))
                 dtype = "<u2" if size <= 1 << 16 else "<u4"
                 system, root = file_system(folder)
                 system.create_dir(root, recursive=True)
