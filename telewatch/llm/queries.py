@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from telewatch.llm import bpe, decontaminate, lm, neardup, pii, quality, records, rules, warc
+from telewatch.llm import bpe, decontaminate, lm, neardup, pii, quality, records, rules, suffixes, warc
 from telewatch.llm.common import fold_of, load, prepare
 
 BYTE_BPE, MULTI_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -56,6 +56,11 @@ def op5(spark, folder):
     return pii.report(load(spark, folder, "documents"))
 
 
+@register("op6_repeated_strings")
+def op6(spark, folder):
+    return suffixes.removal(load(spark, folder, "documents"))
+
+
 @register("op7_decontamination", decontaminate.SQL)
 def op7(spark, folder):
     return decontaminate.report(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
