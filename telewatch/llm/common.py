@@ -154,6 +154,20 @@ def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np
     return out, n
 
 
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each `shard`, from batches in which they are neighbours."""
+    shard, rows = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if shard is not None and r["shard"] != shard:
+                yield shard, rows
+                rows = []
+            shard = r["shard"]
+            rows.append(r)
+    if shard is not None:
+        yield shard, rows
+
+
 def int_array(values: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark's signed longs."""
     return pa.array(np.ascontiguousarray(values).view(np.int64))

@@ -200,19 +200,6 @@ def _ranges(flags: np.ndarray) -> np.ndarray:
     return edges
 
 
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    shard, rows = None, []
-    for batch in batches:
-        for r in batch.to_pylist():
-            if shard is not None and r["shard"] != shard:
-                yield shard, rows
-                rows = []
-            shard = r["shard"]
-            rows.append(r)
-    if shard is not None:
-        yield shard, rows
-
-
 FOUND = "anchor long, content long, a long, b long"
 
 
@@ -223,7 +210,7 @@ def _rows(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
 
 
 def _within(batches):
-    for _, rows in _by_shard(batches):
+    for _, rows in C.by_shard(batches):
         flags = repeated_strings([r["bytes"] for r in rows])
         found = [(r["anchor"], r["content"], _ranges(f)) for r, f in zip(rows, flags) if f.any()]
         if found:
@@ -232,7 +219,7 @@ def _within(batches):
 
 def _sorted_strings(ranges: int):
     def run(batches):
-        for shard, rows in _by_shard(batches):
+        for shard, rows in C.by_shard(batches):
             own = np.unique(np.concatenate([fingerprints(r["bytes"]) for r in rows]))
             cut = np.searchsorted(own, (np.arange(1, ranges, dtype=np.float64) * (2.0 ** 64 / ranges)).astype(np.uint64))
             parts = np.split(own, cut)
@@ -243,7 +230,7 @@ def _sorted_strings(ranges: int):
 
 
 def _merge(batches):
-    for _, rows in _by_shard(batches):  # here a shard is a range of fingerprints
+    for _, rows in C.by_shard(batches):  # here a shard is a range of fingerprints
         runs = [np.frombuffer(r["strings"], np.uint64) for r in rows]
         whole = np.sort(np.concatenate(runs))
         for r, own in zip(rows, runs):
@@ -253,7 +240,7 @@ def _merge(batches):
 
 
 def _look_up(batches):
-    for _, rows in _by_shard(batches):
+    for _, rows in C.by_shard(batches):
         blobs = [r["strings"] for r in rows if r["strings"] is not None]
         if not blobs:
             continue
