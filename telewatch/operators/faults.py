@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,34 +45,43 @@ def fault_events(scores: DataFrame, max_gap_hours: int = 0) -> DataFrame:
         "max_abs_zscore", "max_iforest_score", "min_rolling_variance", "reasons")
 
 
+def _openers(seq, start, end, tolerance: int) -> list[int]:
+    """The events of an island that open an episode, in one pass."""
+    found, first, reach = [], None, None
+    for n, s, e in zip(seq.tolist(), start.tolist(), end.tolist()):
+        if first is not None and s - first <= tolerance and s <= reach:
+            reach = max(reach, e)
+        else:
+            found.append(n)
+            first, reach = s, e
+    return found
+
+
 def assign_episodes(events: DataFrame, tolerance_hours: int = V.ONSET_TOLERANCE_HOURS) -> DataFrame:
     """Add `anchor`, the sequence number of the episode's first event within its station's island.
 
     Events in start order join the open episode while they start within the tolerance of its first event and not
-    after its running end. Where an event starts after every earlier end, an episode ends in any case; these sure
-    breaks cut a station into islands, and only the short lists inside an island are folded in order.
+    after its running end. Where an event starts after every earlier end, or later than its predecessor by more than the
+    tolerance, an episode ends in any case; these sure breaks cut a station into islands, and the lists inside an island are read in order.
     """
     order = ["start_hour", "channel"]
     station = W.partitionBy("station_id").orderBy(*order)
     reach = F.max("end_hour").over(station.rowsBetween(W.unboundedPreceding, -1))
-    sure = F.coalesce(F.col("start_hour") > reach, F.lit(True)).cast("long")
+    late = F.unix_micros("start_hour") - F.unix_micros(F.lag("start_hour").over(station)) > tolerance_hours * 3_600_000_000
+    sure = F.coalesce((F.col("start_hour") > reach) | late, F.lit(True)).cast("long")
     islands = events.withColumn("_sure", sure).withColumns({
         "_island": F.sum("_sure").over(station.rowsBetween(W.unboundedPreceding, 0)),
         "_seq": F.row_number().over(station)})
     step = F.struct("_seq", F.unix_micros("start_hour").alias("s"), F.unix_micros("end_hour").alias("e"))
     lists = islands.groupBy("station_id", "_island").agg(F.array_sort(F.collect_list(step)).alias("_steps"))
+    lists = lists.select("station_id", *[F.col("_steps")[c].alias(c) for c in ("_seq", "s", "e")])
     tolerance = tolerance_hours * 3_600_000_000
-    none = F.lit(None).cast("long")
-    start = F.struct(none.alias("s"), none.alias("e"), F.expr("cast(array() as array<int>)").alias("anchors"))
 
-    def fold(acc: Column, ev: Column) -> Column:
-        inside = F.coalesce((ev["s"] - acc["s"] <= tolerance) & (ev["s"] <= acc["e"]), F.lit(False))
-        return F.struct(
-            F.when(inside, acc["s"]).otherwise(ev["s"]).alias("s"),
-            F.when(inside, F.greatest(acc["e"], ev["e"])).otherwise(ev["e"]).alias("e"),
-            F.when(inside, acc["anchors"]).otherwise(F.array_append(acc["anchors"], ev["_seq"])).alias("anchors"))
+    @F.pandas_udf("array<int>")
+    def openers(seq: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series([_openers(*lists, tolerance) for lists in zip(seq, start, end)])
 
-    anchors = lists.select("station_id", F.explode(F.aggregate("_steps", start, fold)["anchors"]).alias("_seq"))
+    anchors = lists.select("station_id", F.explode(openers("_seq", "s", "e")).alias("_seq"))
     placed = islands.join(anchors.withColumn("_anchor", F.col("_seq")), ["station_id", "_seq"], "left")
     running = W.partitionBy("station_id").orderBy("_seq").rowsBetween(W.unboundedPreceding, 0)
     return placed.withColumn("anchor", F.max("_anchor").over(running)).drop("_sure", "_island", "_seq", "_anchor")

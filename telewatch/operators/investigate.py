@@ -315,23 +315,33 @@ def duration_summary(durations: DataFrame) -> DataFrame:
         F.sum("n_never_recovered").alias("never_recovered"))
 
 
-def window_recovery(windows: DataFrame, targets: DataFrame, obs: DataFrame, padding_hours: int = 48) -> DataFrame:
-    """Minute-level drop and recovery of each window from the raw observations of its target stations.
+def window_recovery(windows: DataFrame, targets: DataFrame, obs: DataFrame) -> DataFrame:
+    """Minute-level drop and recovery of each window: the last observation of each target station before it and the first after it, however
+    far away.
 
-    Window bounds are whole hours, so an observation only matters through the first and last one of its
-    station-hour. That reduces the log before any join, and the join is by equality on (station, hour).
+    Window bounds are whole hours, so an observation only matters through the first and last one of its station-hour. That reduces the
+    log before the exchange. Bounds and hours of a station are then put in one order, in which a bound looks back and ahead.
     """
     hour, ts = F.date_trunc("hour", "obs_time_utc"), F.col("obs_time_utc")
     hourly = obs.where(F.col("station_id").isNotNull() & ts.isNotNull()).groupBy("station_id", hour.alias("_hour")).agg(
         F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.min(F.when(ts > hour, ts)).alias("_inside"))
-    start, end, h = F.col("window_start_utc"), F.col("window_end_utc"), F.col("_hour")
     spans = targets.select("window_id", "station_id").distinct().join(
         windows.select("window_id", "window_start_utc", "window_end_utc"), "window_id")
-    slots = F.sequence(shift_hours(start, -padding_hours), shift_hours(end, padding_hours), F.expr("INTERVAL 1 HOUR"))
-    near = spans.withColumn("_hour", F.explode(slots)).join(hourly, ["station_id", "_hour"])
-    after = F.when(h == end, F.col("_inside")).when(h > end, F.col("_first"))
-    per_station = near.groupBy("window_id", "station_id").agg(
-        F.max(F.when(h < start, F.col("_last"))).alias("drop"), F.min(after).alias("back"), F.sum(F.lit(1)).alias("_seen"))
+    # Within an hour: a window that starts, the hour's observations, a window that ends, observations past the full hour.
+    none = F.lit(None).cast("timestamp")
+    marks = F.explode(F.array(F.struct(F.col("_hour").alias("t"), F.lit(1).alias("place"), F.col("_last").alias("before"), F.col("_first").alias("after")),
+                              F.struct(F.col("_hour").alias("t"), F.lit(3).alias("place"), none.alias("before"), F.col("_inside").alias("after"))))
+    bounds = F.explode(F.array(F.struct(F.col("window_start_utc").alias("t"), F.lit(0).alias("place")),
+                               F.struct(F.col("window_end_utc").alias("t"), F.lit(2).alias("place"))))
+    rows = hourly.select("station_id", marks.alias("m")).select("station_id", "m.*").unionByName(
+        spans.select("window_id", "station_id", bounds.alias("m")).select("window_id", "station_id", "m.*"), allowMissingColumns=True)
+    order = W.partitionBy("station_id").orderBy("t", "place")
+    looked = rows.withColumns({
+        "_drop": F.last("before", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)),
+        "_back": F.first("after", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing)),
+        "_seen": F.max("before").over(W.partitionBy("station_id"))})
+    per_station = looked.where(F.col("window_id").isNotNull() & F.col("_seen").isNotNull()).groupBy("window_id", "station_id").agg(
+        F.max(F.when(F.col("place") == 0, F.col("_drop"))).alias("drop"), F.min(F.when(F.col("place") == 2, F.col("_back"))).alias("back"))
 
     def middle(c: str) -> Column:
         return median(F.unix_micros(c).cast("double"))

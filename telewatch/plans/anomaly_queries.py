@@ -38,10 +38,11 @@ def quoted(names):
 
 cte("long_channels", " UNION ALL ".join(
     f"SELECT station_id, hour_utc, '{c}' AS source_channel, '{n}' AS channel, {c} AS raw, {value_sql(c, n)} AS value FROM hours"
-    for c, n in SCORED))
+    for c, n in SCORED), stored=True)
+cte("own_median", "SELECT station_id, channel, median(value) AS m FROM long_channels GROUP BY 1, 2")
 cte("own_baseline", """
-SELECT station_id, channel, any_value(m) AS m, median(abs(value - m)) AS s, count(value) AS n FROM (
-  SELECT station_id, channel, value, median(value) OVER (PARTITION BY station_id, channel) AS m FROM long_channels) GROUP BY 1, 2""")
+SELECT l.station_id, l.channel, any_value(o.m) AS m, median(abs(l.value - o.m)) AS s, count(l.value) AS n
+FROM long_channels l JOIN own_median o ON o.station_id = l.station_id AND o.channel = l.channel GROUP BY 1, 2""", stored=True)
 cte("pooled", f"""
 SELECT channel, any_value(pooled_value) AS pooled_value, median(abs(value - pooled_value)) AS pooled_spread FROM (
   SELECT l.channel, l.value, median(l.value) OVER (PARTITION BY l.channel) AS pooled_value FROM long_channels l
@@ -58,7 +59,7 @@ SELECT station_id, hour_utc, channel, rolling_variance, bool_or(flat) OVER (PART
       avg(abs(value)) OVER w AS size FROM long_channels
     WINDOW w AS (PARTITION BY station_id, channel ORDER BY hour_utc ROWS BETWEEN {STUCK_ROWS - 1} PRECEDING AND CURRENT ROW)))""")
 cte("drawn", """
-SELECT *, upto * points // n - (upto - c) * points // n AS k FROM (
+SELECT *, (2 * upto * points + n) // (2 * n) - (2 * (upto - c) * points + n) // (2 * n) AS k FROM (
   SELECT *, least(n, 256) AS points FROM (
     SELECT station_id, channel, value AS x, count(*) AS c, cast(sum(count(*)) OVER (PARTITION BY station_id, channel ORDER BY value) AS bigint) AS upto,
       cast(sum(count(*)) OVER (PARTITION BY station_id, channel) AS bigint) AS n FROM long_channels WHERE value IS NOT NULL GROUP BY 1, 2, 3))""")

@@ -28,6 +28,7 @@ TIE_SHIFT = 0.0858
 
 QUERIES: dict[str, Query] = {}
 CTES: dict[str, str] = {}
+STORED: set[str] = set()
 
 
 def parse_columns(spec: str) -> list[tuple[str, str]]:
@@ -44,8 +45,11 @@ def query(name: str, spec: str, sql: str | None = None):
     return register
 
 
-def cte(name: str, sql: str) -> None:
+def cte(name: str, sql: str, stored: bool = False) -> None:
+    """A named part of the SQL; `stored` keeps the database from expanding it at each use."""
     CTES[name] = sql.strip()
+    if stored:
+        STORED.add(name)
 
 
 def spark_result(q: Query, spark: SparkSession, folder: str) -> DataFrame:
@@ -87,6 +91,6 @@ def oracle_text(q: Query) -> str:
             "t": f"strftime(cast({name} as timestamp), '%Y-%m-%d %H:%M:%S')",
         }[kind] + f" AS {name}"
 
-    parts = ",\n".join(f"{name} AS ({CTES[name]})" for name in _needed(q.sql))
+    parts = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in STORED else ''}({CTES[name]})" for name in _needed(q.sql))
     head = f"WITH RECURSIVE {parts}\n" if parts else ""
     return f"{head}SELECT {', '.join(shown(n, k) for n, k in q.columns)} FROM ({q.sql.strip()}) AS result"

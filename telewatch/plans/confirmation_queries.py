@@ -15,8 +15,7 @@ from telewatch.sources.event_log import EXTREMES, MEASUREMENT_SQL
 from telewatch.sources.tables import materialise
 
 MIN_READINGS, STATION = 2, "S000001"
-# the light sensor is left out, so that unmapped checks occur
-READING_COLUMNS = [c for c in dict.fromkeys(V.FIVE_MIN_COLUMN.values()) if c != "uv_high"]
+READING_COLUMNS = list(dict.fromkeys(V.FIVE_MIN_COLUMN.values()))
 
 cte("readings", f"""
 SELECT station_id, t, {', '.join(f'cast({MEASUREMENT_SQL[c]} AS double) AS {c}' for c in READING_COLUMNS)} FROM (

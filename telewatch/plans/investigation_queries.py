@@ -334,8 +334,7 @@ def duration_summary(spark, folder):
 
 cte("last_first", """
 SELECT w.window_id, m.station_id, max(o.ts) FILTER (o.ts < w.window_start_utc) AS drop_utc, min(o.ts) FILTER (o.ts > w.window_end_utc) AS back_utc
-FROM windows w JOIN members m USING (window_id) JOIN obs o ON o.station_id = m.station_id
-  AND o.ts >= w.window_start_utc - INTERVAL 48 HOUR AND o.ts < w.window_end_utc + INTERVAL 49 HOUR GROUP BY 1, 2""")
+FROM windows w JOIN members m USING (window_id) JOIN obs o ON o.station_id = m.station_id GROUP BY 1, 2""")
 cte("recovery", """
 SELECT *, CASE WHEN drop_spread_seconds IS NULL THEN 'unknown' WHEN drop_spread_seconds < 120 THEN 'tight' ELSE 'loose' END AS drop_sync_class FROM (
 SELECT w.window_id, w.window_start_utc, w.window_end_utc, w.station_count, w.outage_class, t.stations_targeted, n_with_last_before, n_with_first_after,

@@ -22,12 +22,12 @@ cte("features_raw", "SELECT station_id, start_hour, end_hour, " + ", ".join(
        "coalesce(min_rolling_variance, (SELECT coalesce(max(min_rolling_variance), 0) FROM episodes)) AS min_rolling_variance"]) + " FROM episodes")
 # stand-in labels, so that everything behind the clustering can be checked in SQL
 cte("labelled", """
-SELECT *, cast(n_events % 4 AS int) - 1 AS cluster_label, 1.0 / (1 + duration_hours) AS cluster_probability FROM episodes""")
+SELECT *, cast((n_events + duration_hours) % 4 AS int) - 1 AS cluster_label, 1.0 / (1 + duration_hours) AS cluster_probability FROM episodes""")
 
 
 def labelled(spark, folder):
     rows = fault_episodes(spark, folder).withColumns({
-        "cluster_label": (F.col("n_events") % 4).cast("int") - 1, "cluster_probability": F.lit(1.0) / (1 + F.col("duration_hours"))})
+        "cluster_label": ((F.col("n_events") + F.col("duration_hours")) % 4).cast("int") - 1, "cluster_probability": F.lit(1.0) / (1 + F.col("duration_hours"))})
     return materialise(rows, "labelled_episodes")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -75,7 +76,9 @@ def write_by_station(df: DataFrame, path: str, fmt: str = "parquet", mode: str =
     Rows are clustered by station and day, so a large station is written by many tasks and no task opens
     more than the folders it holds rows for.
     """
-    writer = df.write.partitionBy("station_id").mode(mode)
+    time = next((c for c in df.columns if c in INSTANT), None)
+    parted = df.repartition("station_id", *([F.to_date(time)] if time else []))
+    writer = parted.write.partitionBy("station_id").mode(mode)
     writer.csv(path, header=True) if fmt == "csv" else writer.format(fmt).save(path)
 
 
@@ -99,7 +102,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_folder()
 

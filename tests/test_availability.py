@@ -193,3 +193,17 @@ def test_longest_run_prefers_the_first_and_has_context(spark):
     run = Q.longest_run(df, F.col("data_present") == 1)
     assert [(r.station_id, r.start_utc, r.end_utc, r.run_rows) for r in run.collect()] == [("A", at(1), at(3), 3)]
     assert Q.context_of_runs(df, run, 2).count() == 6
+
+
+def test_window_recovery_looks_any_distance_back_and_ahead(spark):
+    t = lambda h: dt.datetime(2025, 6, 10) + dt.timedelta(hours=h)
+    windows = spark.createDataFrame([(1, t(0), t(3), 2, "network_midnight"), (2, t(100), t(101), 1, "network_other")],
+                                    "window_id long, window_start_utc timestamp, window_end_utc timestamp, station_count long, outage_class string")
+    targets = spark.createDataFrame([(1, "A"), (1, "B"), (2, "C"), (2, "A")], "window_id long, station_id string")
+    obs = spark.createDataFrame([("A", t(-60.5)), ("A", t(-70)), ("A", t(3)), ("A", t(3.25)), ("A", t(3.75)), ("B", t(-1.25)), ("B", t(63.5)), ("B", t(1))],
+                                "station_id string, obs_time_utc timestamp")
+    got = {r.window_id: r for r in Q.window_recovery(windows, targets, obs).collect()}
+    one, two = got[1], got[2]
+    assert (one.drop_min_utc, one.drop_max_utc, one.recovery_min_utc, one.recovery_max_utc) == (t(-60.5), t(-1.25), t(3.25), t(63.5))
+    assert (one.n_with_last_before, one.n_with_first_after, one.status, one.drop_sync_class) == (2, 2, "ok", "loose")
+    assert (two.n_with_last_before, two.n_with_first_after, two.drop_min_utc, two.recovery_min_utc) == (1, 0, t(3.75), None)

@@ -89,3 +89,14 @@ def test_episodes_against_a_slow_model(spark, seed):
         want = slow_episodes([(a, a + n - 1, c) for a, n, c in rows], 6)
         assert sorted(got[s]) == [(at(a), at(b), n) for a, b, n in want]
     assert E.fault_episodes(df.where(F.lit(False))).count() == 0
+
+
+@pytest.mark.parametrize("step", [1, 7])
+def test_episode_openers_of_a_long_island_take_one_pass(step):
+    import numpy as np
+
+    n = 200_000
+    starts = np.arange(n, dtype=np.int64) * step
+    ends = np.maximum(starts, n * step)
+    found = E._openers(np.arange(n), starts, ends, 6)
+    assert len(found) == (n if step == 7 else -(-n // 7)) and found[:2] == ([0, 1] if step == 7 else [0, 7])
