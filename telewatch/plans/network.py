@@ -23,13 +23,17 @@ class Network:
     spark: SparkSession
     folder: str
 
+    @cached_property
+    def bins(self) -> DataFrame:
+        return event_log.hourly(self.spark, self.folder)
+
     @cached_property
     def registry(self) -> DataFrame:
-        return event_log.registry(self.spark, self.folder)
+        return event_log.registry(self.spark, self.folder, self.bins)
 
     @cached_property
     def hours(self) -> DataFrame:
-        return event_log.station_hours(self.spark, self.folder)
+        return event_log.station_hours(self.spark, self.folder, self.bins)
 
     @cached_property
     def states(self) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from telewatch.functions import vocab as V
 from telewatch.functions.columns import beside, floor_time
 from telewatch.operators.grid import utc_grid
-from telewatch.sources.tables import read_parquet
+from telewatch.sources.tables import materialise, read_parquet
 
 USERS_PER_STATION = 16
 HOUR, FIVE_MINUTES = 3600, 300
@@ -57,11 +57,19 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-def registry(spark: SparkSession, folder: str) -> DataFrame:
-    """Stations with formula-made metadata; the first observed day is the start date."""
-    obs = observations(spark, folder)
-    live = obs.groupBy("station_id", "station_no").agg(F.to_date(F.min("obs_time_utc")).alias("start_date"))
-    opening = obs.agg(F.to_date(F.min("obs_time_utc")).alias("start_date"))
+def hourly(spark: SparkSession, folder: str) -> DataFrame:
+    """Measurements per station and hour, stored: one read of the log, from which registry, end date and grid follow."""
+    return materialise(binned(spark, folder, HOUR, "hour_utc"), "station_hours")
+
+
+def registry(spark: SparkSession, folder: str, bins: DataFrame | None = None) -> DataFrame:
+    """Stations with formula-made metadata; the first observed day is the start date. `bins` saves a read of the log."""
+    if bins is None:
+        live = observations(spark, folder).groupBy("station_id", "station_no").agg(F.to_date(F.min("obs_time_utc")).alias("start_date"))
+    else:
+        first = bins.groupBy("station_id").agg(F.to_date(F.min("hour_utc")).alias("start_date"))
+        live = first.select("station_id", F.expr("cast(substring(station_id, 2) as long)").alias("station_no"), "start_date")
+    opening = live.agg(F.min("start_date").alias("start_date"))
     silent = load(spark, folder, "region", "r_regionkey").select(
         F.concat(F.lit("R"), F.lpad(F.col("r_regionkey").cast("string"), 6, "0")).alias("station_id"),
         (F.lit(900000) + F.col("r_regionkey")).cast("long").alias("station_no"))
@@ -88,10 +96,12 @@ def network_end(spark: SparkSession, folder: str) -> DataFrame:
     return observations(spark, folder).agg(F.to_date(F.max("obs_time_utc")).alias("end_date"))
 
 
-def station_hours(spark: SparkSession, folder: str) -> DataFrame:
+def station_hours(spark: SparkSession, folder: str, bins: DataFrame | None = None) -> DataFrame:
     """Complete hourly table of every station, with `data_present` 0 or 1."""
-    grid = utc_grid(registry(spark, folder), network_end(spark, folder), HOUR, "hour_utc")
-    hours = binned(spark, folder, HOUR, "hour_utc").withColumn("data_present", F.lit(1))
+    bins = hourly(spark, folder) if bins is None else bins
+    end = bins.agg(F.to_date(F.max("hour_utc")).alias("end_date"))
+    grid = utc_grid(registry(spark, folder, bins), end, HOUR, "hour_utc")
+    hours = bins.withColumn("data_present", F.lit(1))
     return grid.join(hours, ["station_id", "hour_utc"], "left").withColumns({
         "data_present": F.coalesce("data_present", F.lit(0)), "n_raw_records": F.coalesce("n_raw_records", F.lit(0))})
 
