@@ -27,8 +27,8 @@ def pooled_quantile(
 ) -> DataFrame:
     """One row per key with the linearly interpolated quantile `q` of the non-null `value`s.
 
-    The bracket is four sketch errors wide on both sides, so it holds about 8 / accuracy of the group and
-    certainly the wanted rank. `few_keys` says that the keys are a fixed vocabulary or a calendar, so that the
+    The bracket is four sketch errors wide on both sides, so it holds about 8 / accuracy of the group. That it holds
+    the wanted rank is checked against the counts. `few_keys` says that the keys are a fixed vocabulary or a calendar, so that the
     sketches may be broadcast; otherwise they are joined like any other table.
     """
     keys = list(keys)
@@ -59,6 +59,8 @@ def pooled_quantile(
 
     lower, upper = F.floor("_pos"), F.ceil("_pos")
     weight = F.max(F.col("_pos") - lower)
-    return ranked.groupBy(*keys).agg(at(lower).alias("_a"), at(upper).alias("_b"), weight.alias("_w")).select(
-        *keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias(out)
-    )
+    found = ranked.groupBy(*keys).agg(at(lower).alias("_a"), at(upper).alias("_b"), weight.alias("_w"))
+    # the counted ranks say whether the bracket held the wanted one; a quantile is never silently missing
+    missed = F.col("_a").isNull() | F.col("_b").isNull()
+    exact = (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).cast("double")
+    return found.select(*keys, F.when(missed, F.raise_error(F.lit("the sketch missed the rank")).cast("double")).otherwise(exact).alias(out))

@@ -12,6 +12,7 @@ from telewatch.functions import vocab as V
 from telewatch.functions.columns import haversine_km, hour_bucket, hours_between, right_closed, shift_hours
 from telewatch.functions.quantiles import median, pooled_quantile
 from telewatch.operators.intervals import chunked_previous, covered_hours, number_runs, with_all_labels
+from telewatch.sources.tables import materialise
 
 ONLINE = [V.COMPLETE, V.PARTIAL]
 PAIR_BLOCKS = 32
@@ -420,6 +421,7 @@ def observation_cadence(obs: DataFrame, chunk_hours: int = 24) -> DataFrame:
     rows = obs.where(F.col("station_id").isNotNull() & F.col("obs_time_utc").isNotNull()).select("station_id", "obs_time_utc")
     gaps = chunked_previous(rows, ["station_id"], "obs_time_utc", chunk_hours, "previous_utc").withColumn(
         "gap_min", (F.unix_micros("obs_time_utc") - F.unix_micros("previous_utc")) / F.lit(60_000_000.0))
+    gaps = materialise(gaps.select("station_id", "obs_time_utc", "gap_min"), "gaps")  # statistics, sketch and bracket read it
     stats = gaps.groupBy("station_id").agg(
         row_count().alias("n_obs"), F.min("gap_min").alias("min_gap_min"), F.max("gap_min").alias("max_gap_min"),
         F.min("obs_time_utc").alias("first"), F.max("obs_time_utc").alias("last"))
