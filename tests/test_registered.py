@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from telewatch.operators import availability as A
 from telewatch.operators import scoring as D
+from telewatch.plans import registered
 from telewatch.plans.network import Network
 from telewatch.sources import event_log
 
@@ -13,7 +14,8 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables
 
 
 def test_every_query_has_a_name_and_nearly_every_one_has_sql():
-    queries, oracles = entry.queries(), entry.oracle_sql()
+    queries, oracles = registered.queries(), registered.oracle_sql()
+    assert set(queries) <= set(entry.queries()) and set(oracles) <= set(entry.oracle_sql())
     assert set(oracles) <= set(queries) and set(queries) - set(oracles) == {"fault_clusters", "cluster_parameter_sweep"}
 
 
@@ -58,6 +60,12 @@ def test_plans_have_no_nested_loops(spark):
         assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+@needs_tables
+def test_the_log_is_read_once(spark):
+    for df in (event_log.station_hours(spark, SMALL), Network(spark, SMALL).states):
+        assert "events.parquet" not in plan(df)
+
+
 @needs_tables
 def test_detectors_share_one_exchange(spark):
     hours = event_log.station_hours(spark, SMALL)
