@@ -6,13 +6,19 @@ Each stage is a function of (spark, docs, folder of tables) that returns what it
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import telewatch
 from telewatch.llm import bpe, decontaminate, neardup, pii, quality
 from telewatch.llm.common import load, prepare
 from telewatch.sources.tables import materialise
 
 
+# task functions travel with the plan, so workers need not have the package on their path
+cloudpickle.register_pickle_by_value(telewatch)
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier, fitted on the labels outside the held-out fold, accepts."""
     prepare(spark)
