@@ -2,13 +2,14 @@
 
 A signature has CHUNKS * WIDTH symbols of 16 bits, each the low bits of a minimum hash. Two signatures that differ in at most
 CHUNKS * (ERRORS + 1) - 1 symbols agree, in some chunk, on all but ERRORS symbols (pigeonhole). Allowed errors are enumerated by leaving each
-symbol of a chunk out in turn (ERRORS = 1), so such a pair always shares a key. The distance up to which pairs are taken
-(`distance_limit`) lies within that guarantee, and over six standard deviations above what the threshold's similarity leads to.
+symbol of a chunk out in turn (ERRORS = 1), so such a pair always shares a key. That distance, 31 of 64, lies over five standard deviations
+above what a similarity of 0.8 leads to (12.8).
 
 Equal shingle sets are one class from the start, and only one member of each class, its smallest id, is compared. Inside a
 bucket (the classes that share a key) no table of all pairs is made: every class is compared with the bucket's leader, the member that
-shares most with others. What is then not yet in one component is compared with the other components of its bucket, so that
-components are those of all links between sharing classes.
+shares most with others. Buckets that then hold several components are compared in whole, in groups of buckets that share members: a group is
+cut into blocks of about BLOCK classes, two blocks at a time meet in a task, and only links between different components leave it. So
+components are those of all links between classes that share a key. This last step takes time as the square of such a group over BLOCK.
 
 Defined cases: a text without words has an empty set and links to nothing; a text of fewer words than a shingle has one shingle, all its words;
 rows with a null id have no component and are kept; rows that share an id are one document, linked if any of its texts is; further
@@ -17,8 +18,6 @@ columns are ignored by `near_duplicates` and kept by `without_copies`.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,16 +30,11 @@ from telewatch.sources.tables import materialise
 CHUNKS, WIDTH, ERRORS = 16, 4, 1
 SYMBOLS = CHUNKS * WIDTH
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
+BLOCK, COLUMNS = 512, 4096
 _ODD = C.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _ADD = C.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
-def distance_limit(percent: int) -> int:
-    """Differing symbols up to which a pair is taken: mean and six deviations at the threshold, within the guarantee."""
-    miss = 1 - percent / 100
-    return min(GUARANTEED, math.ceil(SYMBOLS * miss + 6 * math.sqrt(SYMBOLS * miss * (1 - miss))))
-
-
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted within it, and their number."""
     data, offsets = C.text_bytes(column)
@@ -105,41 +99,78 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return C.map_batches(classes.select("rep", "sig"), run, "rep long, key long")
 
 
-def _near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose set sizes and signatures allow the threshold."""
-    limit = distance_limit(percent)
-    side = lambda x: classes.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-
-    def run(batch: pa.RecordBatch):
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for k in (2, 3))
-        return batch.filter(pa.array((x != y).sum(1) <= limit)).select(["a", "b"])
-
-    return C.map_batches(both.select("a", "b", "sig_a", "sig_b"), run, "a long, b long")
+def _pairs_of(batch: pa.RecordBatch, size: int, percent: int) -> np.ndarray:
+    """Which rows (a, leader, text of a, text of the leader) are linked on their whole sets."""
+    leaders = batch.column(1).to_numpy()
+    new = np.concatenate(([True], leaders[1:] != leaders[:-1]))  # neighbouring rows often share their leader: take its text apart once
+    for i in np.flatnonzero(~new):
+        new[i] = batch.column(3)[int(i)] != batch.column(3)[int(i) - 1]
+    of = np.cumsum(new) - 1
+    (xs, xn), (ys, yn) = shingle_sets(batch.column(2), size), shingle_sets(batch.column(3).take(pa.array(np.flatnonzero(new))), size)
+    xe, ye, linked = np.cumsum(xn), np.cumsum(yn), np.zeros(len(of), bool)
+    for i, j in enumerate(of):
+        common = len(np.intersect1d(xs[xe[i] - xn[i]:xe[i]], ys[ye[j] - yn[j]:ye[j]], assume_unique=True))
+        linked[i] = common > 0 and 100 * common >= percent * (xn[i] + yn[j] - common)
+    return linked
+
+
+def _linked_to_leaders(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    both = pairs.join(side("a"), "a").join(side("leader"), "leader").select("a", "leader", "text_a", "text_leader")
+    run = lambda batch: batch.filter(pa.array(_pairs_of(batch, size, percent))).select(["a", "leader"])
+    return materialise(C.map_batches(both, run, "a long, leader long"), "linked")
+
+
+def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between the two blocks of `rows` and between different components, one for each member and component that it meets.
+
+    Common shingles of all pairs are one matrix product, some columns at a time; shingles that only one set has are left out."""
+    sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+    n, block = np.array([len(s) for s in sets]), np.array([r["block"] for r in rows])
+    rep, component = np.array([r["rep"] for r in rows]), np.array([r["component"] for r in rows])
+    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[place]
+    row, common = np.repeat(np.arange(len(rows)), n)[column >= 0], np.zeros((len(rows), len(rows)), np.float32)
+    column = column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    edges = np.searchsorted(column, np.arange(0, int(column.max(initial=-1)) + 1 + COLUMNS, COLUMNS))
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            part = np.zeros((len(rows), COLUMNS), np.float32)
+            part[row[a:b], column[a:b] % COLUMNS] = 1
+            common += part @ part.T
+    linked = (100 * common >= percent * (n[:, None] + n - common)) & (component[:, None] != component)
+    if len(np.unique(block)) > 1:
+        linked &= block[:, None] != block
+    i, j = np.nonzero(np.triu(linked))
+    _, one = np.unique(np.stack([rep[i], component[j]], 1), axis=0, return_index=True)
+    return list(zip(rep[i[one]].tolist(), rep[j[one]].tolist()))
+
+
+def _linked_in_groups(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between components of the same group, from `members` (rep, group, component), block by block."""
+    sizes = materialise(members.groupBy("group").agg(F.count("*").alias("n")), "sizes")
+    last = F.floor((F.col("n") - 1) / BLOCK).cast("int")
+    placed = members.join(sizes, "group").withColumn("last", last).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int"))
+    each = placed.select("rep", "group", "component", "block", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    each = materialise(each.select("rep", "component", "block", F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("shard")), "blocks")
+
+    def sets(batch: pa.RecordBatch):
+        hashes, counts = shingle_sets(batch.column(1), size)
+        return {"rep": batch.column(0), "shingles": C.binaries(hashes, counts)}
 
+    some = texts.join(each.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    full = each.join(materialise(C.map_batches(some, sets, "rep long, shingles binary"), "sets"), "rep")
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs that the whole shingle sets link. Texts of documents in pairs only are moved."""
-    pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    found = materialise(docs.join(ids, "doc_id", "left_semi"), "texts")
-    side = lambda x: found.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+    def run(batches):
+        for _, rows in C.by_shard(batches):
+            links = _block_links(rows, percent)
+            if links:
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    def run(batch: pa.RecordBatch):
-        unique, place = np.unique(batch.column(1).to_numpy(), return_index=True)  # a leader's text is taken apart once
-        of = np.searchsorted(unique, batch.column(1).to_numpy())
-        same = all(batch.column(3)[i].as_py() == batch.column(3)[int(place[j])].as_py() for i, j in enumerate(of)) if len(unique) < len(of) else True
-        rows, of = (place, of) if same else (np.arange(len(of)), np.arange(len(of)))
-        (xs, xn), (ys, yn) = shingle_sets(batch.column(2), size), shingle_sets(batch.column(3).take(pa.array(rows)), size)
-        xe, ye, ok = np.cumsum(xn), np.cumsum(yn), np.zeros(len(of), bool)
-        for i, j in enumerate(of):
-            x, y = xs[xe[i] - xn[i]:xe[i]], ys[ye[j] - yn[j]:ye[j]]
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            ok[i] = common > 0 and 100 * common >= percent * (len(x) + len(y) - common)
-        return batch.filter(pa.array(ok)).select(["a", "b"])
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return materialise(C.map_batches(both, run, "a long, b long"), "confirmed")
+    dealt = full.select("shard", "rep", "component", "block", "shingles").repartition("shard").sortWithinPartitions("shard")
+    return materialise(dealt.mapInArrow(run, "a long, b long"), "linked")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,32 +178,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = materialise(profiles(whole, size), "profiles")
     named = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialise(named.groupBy("name1", "name2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+    classes = materialise(named.groupBy("name1", "name2").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     keyed = _keyed(classes)
     shared = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "keys")
     members = materialise(keyed.join(shared, "key"), "members")
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    leaders = materialise(members.join(weight, "rep").groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("m")).select(
-        "key", (-F.col("m.minus")).alias("leader")), "leaders")
-    pairs = members.join(leaders, "key").filter("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    one_each = classes.groupBy("rep").agg(F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    links = _confirmed(_near_enough(pairs, one_each, percent), whole, size, percent)
-    found = components(links)
-
-    # Buckets that hold several components: their pairs between components, each once.
-    parted = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    parted = materialise(parted, "parted")
-    open_keys = materialise(parted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key"), "open")
-    left = materialise(parted.join(open_keys, "key"), "left")
-    x, y = left.toDF("key", "a", "ca"), left.toDF("key", "b", "cb")
-    rest = x.join(y, "key").filter("ca < cb").select("a", "b").distinct()
-    tried = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    rest = rest.join(tried, ["a", "b"], "left_anti")
-    more = _confirmed(_near_enough(rest, one_each, percent), whole, size, percent)
-    found = components(links.unionByName(more))
-
-    reps = classes.select("name1", "name2", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "name1", "name2", F.coalesce("component", "rep").alias("component"))
+    heaviest = F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("m")
+    leaders = materialise(members.join(weight, "rep").groupBy("key").agg(heaviest).select("key", (-F.col("m.minus")).alias("leader")), "leaders")
+    pairs = materialise(members.join(leaders, "key").filter("rep <> leader").select(F.col("rep").alias("a"), "leader").distinct(), "pairs")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("leader").alias("doc_id"))).distinct()
+    texts = materialise(whole.join(ids, "doc_id", "left_semi"), "texts")
+    links = _linked_to_leaders(pairs, texts, size, percent).select("a", F.col("leader").alias("b"))
+    found = components(links).withColumnRenamed("node", "rep")
+
+    # Buckets that hold several components: their members, in groups of buckets that share members.
+    parted = materialise(members.select("key", "rep").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "parted")
+    several = parted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    left = materialise(parted.join(materialise(several, "open"), "key"), "left")
+    groups = components(left.join(leaders, "key").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
+    inside = left.select("rep", "component").distinct().join(groups.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep")
+    found = components(links.unionByName(_linked_in_groups(inside, texts, size, percent))).withColumnRenamed("node", "rep")
+
+    reps = classes.select("name1", "name2", "rep").join(found, "rep", "left").select("name1", "name2", F.coalesce("component", "rep").alias("component"))
     # Rows that share an id but not a text are one document.
     out = rows.join(materialise(reps, "reps"), ["name1", "name2"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
