@@ -8,7 +8,7 @@ above what a similarity of 0.8 leads to (12.8).
 Equal shingle sets are one class from the start, and only one member of each class, its smallest id, is compared. Inside a
 bucket (the classes that share a key) no table of all pairs is made: every class is compared with the bucket's leader, the member that
 shares most with others. Buckets that then hold several components are compared in whole, in groups of buckets that share members: a group is
-cut into blocks of about BLOCK classes, two blocks at a time meet in a task, and only links between different components leave it. So
+cut into blocks of about BLOCK classes or BLOCK_SHINGLES shingles, two blocks at a time meet in a task, and only links between different components leave it. So
 components are those of all links between classes that share a key. This last step takes time as the square of such a group over BLOCK.
 
 Defined cases: a text without words has an empty set and links to nothing; a text of fewer words than a shingle has one shingle, all its words;
@@ -30,7 +30,7 @@ from telewatch.sources.tables import materialise
 CHUNKS, WIDTH, ERRORS = 16, 4, 1
 SYMBOLS = CHUNKS * WIDTH
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
-BLOCK, COLUMNS = 512, 4096
+BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 400_000, 4096  # classes and shingles of a block, columns of a product
 _ODD = C.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _ADD = C.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
 
@@ -122,46 +122,55 @@ def _linked_to_leaders(pairs: DataFrame, texts: DataFrame, size: int, percent: i
 
 
 def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
-    """Links between the two blocks of `rows` and between different components, one for each member and component that it meets.
-
-    Common shingles of all pairs are one matrix product, some columns at a time; shingles that only one set has are left out."""
-    sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-    n, block = np.array([len(s) for s in sets]), np.array([r["block"] for r in rows])
-    rep, component = np.array([r["rep"] for r in rows]), np.array([r["component"] for r in rows])
-    _, place, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = np.where(often > 1, np.cumsum(often > 1) - 1, -1)[place]
-    row, common = np.repeat(np.arange(len(rows)), n)[column >= 0], np.zeros((len(rows), len(rows)), np.float32)
-    column = column[column >= 0]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    edges = np.searchsorted(column, np.arange(0, int(column.max(initial=-1)) + 1 + COLUMNS, COLUMNS))
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            part = np.zeros((len(rows), COLUMNS), np.float32)
-            part[row[a:b], column[a:b] % COLUMNS] = 1
-            common += part @ part.T
-    linked = (100 * common >= percent * (n[:, None] + n - common)) & (component[:, None] != component)
-    if len(np.unique(block)) > 1:
-        linked &= block[:, None] != block
-    i, j = np.nonzero(np.triu(linked))
-    _, one = np.unique(np.stack([rep[i], component[j]], 1), axis=0, return_index=True)
-    return list(zip(rep[i[one]].tolist(), rep[j[one]].tolist()))
+    """Links between the two blocks of `rows` (or inside the only one) and between different components, one for each member and component
+    that it meets. Common shingles of all pairs are one matrix product, some columns at a time; shingles of one side alone are left out."""
+    first = rows[0]["block"]
+    x = [r for r in rows if r["block"] == first]
+    y = [r for r in rows if r["block"] != first] or x
+    (xs, xn), (ys, yn) = (([np.frombuffer(r["shingles"], np.uint64) for r in side], np.array([len(r["shingles"]) // 8 for r in side])) for side in (x, y))
+    both, times = np.unique(np.concatenate(ys), return_counts=True)
+    xa = np.concatenate(xs)
+    both = both[times > 1] if y is x else np.intersect1d(both, xa)
+    common = np.zeros((len(x), len(y)), np.float32)
+
+    def places(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        on = both[at] == values if len(both) else np.zeros(len(values), bool)
+        row, at = np.repeat(np.arange(len(n)), n)[on], at[on]
+        order = np.argsort(at, kind="stable")
+        return row[order], at[order]
+
+    (xr, xc), (yr, yc) = places(xa, xn), places(np.concatenate(ys), yn)
+    for low in range(0, len(both), COLUMNS):
+        parts = []
+        for row, at, n in ((xr, xc, len(x)), (yr, yc, len(y))):
+            a, b = np.searchsorted(at, (low, low + COLUMNS))
+            part = np.zeros((n, min(COLUMNS, len(both) - low)), np.float32)
+            part[row[a:b], at[a:b] - low] = 1
+            parts.append(part)
+        common += parts[0] @ parts[1].T
+    xp, yp = (np.array([r["component"] for r in side]) for side in (x, y))
+    i, j = np.nonzero((100 * common >= percent * (xn[:, None] + yn - common)) & (xp[:, None] != yp))
+    rep = np.array([r["rep"] for r in x])
+    _, one = np.unique(np.stack([rep[i], yp[j]], 1), axis=0, return_index=True)
+    return list(zip(rep[i[one]].tolist(), np.array([r["rep"] for r in y])[j[one]].tolist()))
 
 
 def _linked_in_groups(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between components of the same group, from `members` (rep, group, component), block by block."""
-    sizes = materialise(members.groupBy("group").agg(F.count("*").alias("n")), "sizes")
-    last = F.floor((F.col("n") - 1) / BLOCK).cast("int")
-    placed = members.join(sizes, "group").withColumn("last", last).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("last") + 1).cast("int"))
-    each = placed.select("rep", "group", "component", "block", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-    each = materialise(each.select("rep", "component", "block", F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("shard")), "blocks")
-
     def sets(batch: pa.RecordBatch):
         hashes, counts = shingle_sets(batch.column(1), size)
-        return {"rep": batch.column(0), "shingles": C.binaries(hashes, counts)}
-
-    some = texts.join(each.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    full = each.join(materialise(C.map_batches(some, sets, "rep long, shingles binary"), "sets"), "rep")
+        return {"rep": batch.column(0), "n": pa.array(counts), "shingles": C.binaries(hashes, counts)}
+
+    members = materialise(members, "grouped")
+    some = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
+    some = materialise(C.map_batches(some, sets, "rep long, n long, shingles binary"), "sets")
+    sized = members.join(some.select("rep", "n"), "rep")
+    sizes = sized.groupBy("group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    placed = members.join(materialise(sizes, "sizes"), "group").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    each = placed.select("rep", "group", "component", "block", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
+    each = each.select("rep", "component", "block", F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("shard"))
+    full = materialise(each, "blocks").join(some, "rep")
 
     def run(batches):
         for _, rows in C.by_shard(batches):
@@ -187,7 +196,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     leaders = materialise(members.join(weight, "rep").groupBy("key").agg(heaviest).select("key", (-F.col("m.minus")).alias("leader")), "leaders")
     pairs = materialise(members.join(leaders, "key").filter("rep <> leader").select(F.col("rep").alias("a"), "leader").distinct(), "pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("leader").alias("doc_id"))).distinct()
-    texts = materialise(whole.join(ids, "doc_id", "left_semi"), "texts")
+    texts = materialise(whole.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")  # the ids have no bound
     links = _linked_to_leaders(pairs, texts, size, percent).select("a", F.col("leader").alias("b"))
     found = components(links).withColumnRenamed("node", "rep")
 
