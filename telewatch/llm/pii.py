@@ -2,10 +2,15 @@
 
 Positions are code points, ends exclusive. Kinds in order: `email`, `ip`, `card`, `phone` (the base kinds, decided by their pattern
 and check alone), then `iban` (mod 97), `ssn` and `secret`, which are kept from a score of `THRESHOLD` on. A score starts at the kind's
-prior, rises when a checksum confirms the match, and rises or falls with words within `NEAR` code points before the match.
+prior, rises when a checksum confirms the match, and rises or falls with words within `NEAR` code points of the match, on both sides: a
+hint counts wherever it stands, a doubt after the match only if no hint stands before it.
+
+An `iban` ends where the length of its country says, so words or numbers that follow are not taken in. Of a country that `IBAN_LENGTH`
+does not list, every end of a word from 15 to 34 characters is tried, the longest first; where the listed length is not confirmed, the longest
+end is tried too.
 
 Each pattern is searched in time linear in the text: a run of digits is tried once, at its first digit, as a match from a later digit
-would meet the same end; e-mail addresses are sought from their `@`.
+would meet the same end; e-mail addresses are sought from their `@`; an `iban` is sought from its first four characters and reads 34 at most.
 
 Defined cases: a null text is empty and has no spans; rows are independent; further columns are kept by `redact`.
 """
@@ -30,7 +35,9 @@ _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN_HEAD = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_TAIL = re.compile(r"(?: ?[A-Z0-9]){11,30}")
+_INSIDE = re.compile(r"[A-Za-z0-9]")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,64}|[A-Za-z]{2,4}[_-][A-Za-z0-9_-]{20,64}|AKIA[A-Z0-9]{16})(?![A-Za-z0-9])")
 
@@ -45,6 +52,12 @@ DOUBTS = {
     "ip": "version release section", "card": "isbn order serial id", "phone": "isbn", "iban": "serial part", "ssn": "order part serial",
     "secret": "sha sha1 sha256 md5 hash checksum commit digest",
 }
+# Characters of an account number by country (ISO 13616 registry).
+IBAN_LENGTH = {c: n for n, countries in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}.items() for c in countries.split()}
 _WORDS = re.compile(r"[a-z0-9]+")
 _HINTS = {k: frozenset(v.split()) for k, v in HINTS.items()}
 _DOUBTS = {k: frozenset(v.split()) for k, v in DOUBTS.items()}
@@ -79,6 +92,23 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    out, free = [], 0
+    for head in _IBAN_HEAD.finditer(text):
+        start = head.start()
+        tail = _IBAN_TAIL.match(text, head.end()) if start >= free else None
+        if not tail:
+            continue
+        ends = {n: i + 1 for n, i in enumerate((i for i in range(*tail.span()) if text[i] != " "), 5)}  # by characters so far
+        whole = [n for n in reversed(ends) if n >= 15 and not _INSIDE.match(text, ends[n])]
+        length = IBAN_LENGTH.get(text[start:start + 2])
+        tried = whole if length is None else [n for n in whole if n == length] + whole[:1]
+        free = next((ends[n] for n in tried if mod97(text[start:ends[n]].replace(" ", ""))), free)
+        if free > start:
+            out.append((start, free))
+    return out
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -92,16 +122,17 @@ FINDERS = {
     "ip": lambda t: _spans(_IP, t, lambda s: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in s.split("."))),
     "card": lambda t: _spans(_CARD, t, lambda s: 16 <= len(d := _digits(s)) <= 19 and luhn(d)),
     "phone": lambda t: _spans(_PHONE, t, lambda s: 8 <= len(_digits(s)) <= 15),
-    "iban": lambda t: _spans(_IBAN, t, lambda s: 15 <= len(s.replace(" ", "")) <= 34 and mod97(s.replace(" ", ""))),
+    "iban": ibans,
     "ssn": lambda t: _spans(_SSN, t, lambda s: True),
     "secret": lambda t: _spans(_SECRET, t, lambda s: any(c.isdigit() for c in s)),
 }
 
 
-def score(text: str, kind: str, start: int) -> float:
-    words = set(_WORDS.findall(text[max(0, start - NEAR):start].lower()))
+def score(text: str, kind: str, start: int, end: int) -> float:
+    before, after = (set(_WORDS.findall(t.lower())) for t in (text[max(0, start - NEAR):start], text[end:end + NEAR]))
+    hints, doubts = _HINTS[kind], _DOUBTS.get(kind, frozenset())
     value = PRIOR[kind] + CONFIRMED.get(kind, 0.0)
-    value += 0.3 * bool(words & _HINTS[kind]) - 0.3 * bool(words & _DOUBTS.get(kind, frozenset()))
+    value += 0.3 * bool((before | after) & hints) - 0.3 * bool(before & doubts or (after & doubts and not before & hints))
     return round(min(max(value, 0.0), 1.0), 2)
 
 
@@ -110,7 +141,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     out = []
     for kind, finder in FINDERS.items():
         for a, b in finder(text):
-            s = score(text, kind, a)
+            s = score(text, kind, a, b)
             if kind in BASE or s >= THRESHOLD:
                 out.append((kind, a, b, s))
     return out

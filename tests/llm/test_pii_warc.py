@@ -36,6 +36,29 @@ def test_more_kinds_need_checksum_or_context():
     assert "secret" in kinds(f'token = "{key}"') and "secret" not in kinds(f"md5 {key}") and "secret" not in kinds(f"see {key}")
 
 
+def test_an_iban_ends_where_its_country_says():
+    spans = lambda t: [t[a:b] for k, a, b, _ in pii.find(t) if k == "iban"]
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    for after in ("", " BIC: COBADEFF", " I paid", " 2024", " A B C D E F G H I J K L M N", ", 2024", " ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for n in (german, german.replace(" ", ""), british):
+            assert spans(f"to {n}{after}") == [n]
+    assert spans(f"{german} {british} NO93 8601 1117 947 X") == [german, british, "NO93 8601 1117 947"]
+    assert spans(f"REF1 DE88 {british}") == [british]
+    assert spans("DE88 3704 0044 0532 0130 00 BIC") == [] and spans("DE89370400440532013000I") == []
+    other = next(f"ZZ{c:02d} 1234 5678 9012 3456" for c in range(98) if pii.mod97(f"ZZ{c:02d}1234567890123456"))  # no listed length
+    assert spans(f"{other} I") == [other]
+    text = f"to {german} BIC: COBADEFF"
+    assert pii.mask(text, pii.find(text)) == "to [IBAN] BIC: COBADEFF"
+
+
+def test_context_on_both_sides():
+    spans = lambda t: {k: s for k, _, _, s in pii.find(t)}
+    assert spans("123-45-6789 is my social security number") == {"ssn": 0.6}
+    key = "0123456789abcdef0123456789abcdef"
+    assert spans(f"{key} is the api key") == {"secret": 0.6} and spans(f"{key} is the md5 of the key") == {}
+    assert spans("ssn 123-45-6789, order 7") == {"ssn": 0.6} and spans("order 123-45-6789") == {}
+
+
 def test_long_runs_take_linear_time():
     for t in ("1" * 300_000, "a" * 300_000 + "@", "1." * 100_000, "+1" + "(" * 200_000, "@" * 100_000, "a@" * 100_000):
         pii.find(t)
