@@ -26,7 +26,8 @@ WHITE = " \t\n\x0b\x0c\r"
 PLACE_BITS = 28  # positions of words; what is left of a long holds the window's hash
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_distinct_words")
 
-# Rule k sets bit k where it fails. Integers only, so that every engine agrees.
+# Rule k sets bit k where it fails. Integers only, so that every engine agrees. The share of distinct words falls with the length of clean texts, so
+# few_distinct_words asks for 15 per cent up to 5,000 words and for the square root of 112.5 n_words beyond; the two meet there, at 750.
 RULES: tuple[tuple[str, str], ...] = (
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
@@ -34,7 +35,7 @@ RULES: tuple[tuple[str, str], ...] = (
     ("duplicate_lines", "n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines"),
     ("upper_case", "100 * n_upper > 50 * word_chars"),
     ("word_length", "word_chars < 2 * n_words OR word_chars > 20 * n_words"),
-    ("few_distinct_words", "n_words >= 50 AND 100 * n_distinct_words < 15 * n_words AND n_words < 5000"),
+    ("few_distinct_words", "n_words >= 50 AND 100 * n_distinct_words < 15 * n_words AND 2 * n_distinct_words * n_distinct_words < 225 * n_words"),
 )
 BASE = ("few_words", "repeated_words")
 POLICIES: dict[str, tuple[str, ...]] = {

@@ -54,6 +54,14 @@ def test_policies_and_ablations(documents):
     assert rules.verdicts(documents([]), "v1").collect() == []
 
 
+def test_long_texts_of_few_words_fail_like_shorter_ones(documents):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, k, n)) for n, k in ((4999, 100), (5000, 100), (9000, 100), (9000, 9000), (40000, 4000))]
+    rows = sorted(rules.verdicts(documents(texts), "v2").collect())
+    few = rules.BIT["few_distinct_words"]
+    assert [r.fail_bits for r in rows] == [few, few, few, 0, 0] and [r.kept for r in rows] == [False, False, False, True, True]
+
+
 def test_ledger_runs_no_python(documents):
     text = rules.measure(documents(TEXTS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in text and "Arrow" not in text and "Exchange" not in text
