@@ -145,7 +145,6 @@ STUCK_WINDOW = 24
 STUCK_VARIANCE = 1e-6
 STUCK_MAGNITUDE = 1e-9
 COVERAGE_FLOOR = 1500
-ISOLATION_SAMPLE = 256
 Z_THRESHOLD = 3.5
 CIRCULAR_CHANNELS = ["winddir_avg_deg"]
 LOG_CHANNELS = ["precip_total_mm", "precip_rate_mmh"]
