@@ -60,7 +60,7 @@ SELECT station_id, hour_utc, channel, rolling_variance, bool_or(flat) OVER (PART
     WINDOW w AS (PARTITION BY station_id, channel ORDER BY hour_utc ROWS BETWEEN {STUCK_ROWS - 1} PRECEDING AND CURRENT ROW)))""")
 cte("drawn", """
 SELECT *, (2 * upto * points + n) // (2 * n) - (2 * (upto - c) * points + n) // (2 * n) AS k FROM (
-  SELECT *, least(n, 256) AS points FROM (
+  SELECT *, n AS points FROM (
     SELECT station_id, channel, value AS x, count(*) AS c, cast(sum(count(*)) OVER (PARTITION BY station_id, channel ORDER BY value) AS bigint) AS upto,
       cast(sum(count(*)) OVER (PARTITION BY station_id, channel) AS bigint) AS n FROM long_channels WHERE value IS NOT NULL GROUP BY 1, 2, 3))""")
 cte("gaps", """

@@ -70,7 +70,7 @@ def test_the_log_is_read_once(spark):
 def test_detectors_share_one_exchange(spark):
     hours = event_log.station_hours(spark, SMALL)
     long = D.by_series(D.long_channels(hours.sparkSession.createDataFrame([], hours.schema), ["temp_avg_c", "uv_high"]))
-    text = plan(D.isolation_scores(D.stuck_values(long, D.SERIES, "hour_utc"), D.SERIES))
+    text = plan(D.stuck_values(D.score_series(long, D.SERIES), D.SERIES, "hour_utc"))
     assert text.count("Exchange hashpartitioning") == 1 and "Python" not in text
 
 
