@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from telewatch.llm import bpe, decontaminate, lm, neardup, pii, quality, records, rules, suffixes, warc
+from telewatch.llm import bpe, conversations, decontaminate, lm, neardup, pii, quality, records, rules, suffixes, warc
 from telewatch.llm.common import fold_of, load, prepare
 
 BYTE_BPE, MULTI_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -87,6 +87,11 @@ def op10(spark, folder):
     return bpe.digests(load(spark, folder, "documents"), MULTI_BPE, public_tokenizers.PATTERN)
 
 
+@register("op11_conversation_repair")
+def op11(spark, folder):
+    return conversations.repair(conversations.damage(load(spark, folder, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 

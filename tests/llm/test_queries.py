@@ -12,7 +12,7 @@ SMALL = "/root/testdata/sf0.001"
 
 def test_one_query_per_operator():
     names = set(queries.queries())
-    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 11)} and len(names) == 10
+    assert {n.split("_")[0] for n in names} == {f"op{k}" for k in range(1, 14)} and len(names) == 13
     assert names | {"pipeline"} <= set(entry.queries()) and set(queries.oracle_sql()) <= set(entry.oracle_sql())
 
 
