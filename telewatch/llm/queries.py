@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from telewatch.llm import bpe, conversations, decontaminate, lm, neardup, pii, quality, records, rules, suffixes, warc
+from telewatch.llm import bpe, conversations, decontaminate, html, lm, neardup, negatives, pii, quality, records, rules, suffixes, warc
 from telewatch.llm.common import fold_of, load, prepare
 
 BYTE_BPE, MULTI_BPE = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -92,6 +93,17 @@ def op11(spark, folder):
     return conversations.repair(conversations.damage(load(spark, folder, "conversations")))
 
 
+@register("op12_html_text", html.SQL)
+def op12(spark, folder):
+    return html.extract(load(spark, folder, "pages"))
+
+
+@register("op13_hard_negatives", negatives.SQL)
+def op13(spark, folder):
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(load(spark, folder, "embeddings").withColumn("label", shifted))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 
