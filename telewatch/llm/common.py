@@ -43,6 +43,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | d
     return df.mapInArrow(run, schema)
 
 
+def in_lots(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches with rows, put together up to about `size` bytes."""
+    held, held_size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            held_size += batch.nbytes
+        if held_size > size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, held_size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def kept_in_process(name: str, make: Callable):
     """What `make` gives, made once per worker process: later tasks of the same process find it again."""
     place = sys.modules.setdefault("telewatch_llm_kept", types.ModuleType("telewatch_llm_kept"))

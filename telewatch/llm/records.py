@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from telewatch.llm import common as C
-from telewatch.llm.chunks import ChunkEncoder
+from telewatch.llm.chunks import WordEncoder, gather
 from telewatch.sources.tables import materialise, shared_folder
 
 NULL_ID = -(2 ** 63)  # stands for a null doc_id in an index
 MANIFEST = "part int, path string, index string, dtype string, records long, tokens long"
 READ_BYTES = 8 << 20
+LOT = 2 << 20  # bytes of text encoded at once, so that a chunk is looked up once for many texts
 
 # CRC-32C --------------------------------------------------------------------------------------------------------------
 
@@ -113,16 +114,19 @@ def file_system(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("/") else uri.replace("file:", "file://", 1))
 
 
-def frame(payloads: list[bytes]) -> tuple[bytes, np.ndarray]:
-    """Framed records one after the other, and the offset of each."""
-    lengths = np.array([len(p) for p in payloads], np.int64)
+def frame(payloads: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Framed records one after the other, and the offset of each, from the bytes of consecutive payloads."""
     heads = lengths.astype("<u8").view(np.uint8)
-    head_crc = masked(crc32c(heads, np.full(len(payloads), 8))).astype("<u4")
-    body_crc = masked(crc32c(np.frombuffer(b"".join(payloads), np.uint8), lengths)).astype("<u4")
-    parts = []
-    for n, a, p, b in zip(lengths.astype("<u8"), head_crc, payloads, body_crc):
-        parts += [n.tobytes(), a.tobytes(), p, b.tobytes()]
-    return b"".join(parts), np.cumsum(lengths + 16) - (lengths + 16)
+    ends = np.cumsum(lengths + 16)
+    offsets = ends - (lengths + 16)
+    out = np.empty(int((lengths + 16).sum()), np.uint8)
+    inside = np.ones(len(out), bool)
+    for at, piece in ((offsets, heads.reshape(-1, 8)), (offsets + 8, masked(crc32c(heads, np.full(len(lengths), 8))).astype("<u4").view(np.uint8).reshape(-1, 4)),
+                      (ends - 4, masked(crc32c(payloads, lengths)).astype("<u4").view(np.uint8).reshape(-1, 4))):
+        places = at[:, None] + np.arange(piece.shape[1])
+        out[places], inside[places] = piece, False
+    out[inside] = payloads
+    return out.tobytes(), offsets
 
 
 def unframe(blob: bytes, offsets: np.ndarray, counts: np.ndarray, dtype: str) -> list[np.ndarray]:
@@ -142,38 +146,37 @@ def unframe(blob: bytes, offsets: np.ndarray, counts: np.ndarray, dtype: str) ->
 
 
 def library_encoder(path: str):
-    """Encodes strings with the tokenizers library; strings of special tokens are ordinary text."""
+    """Encodes strings with the tokenizers library; no special tokens are added, and those that a text spells out are found, as in a plain call."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-
     begins = np.zeros(library.get_vocab_size(), bool)  # tokens that begin with a space
     begins[[i for token, i in library.get_vocab().items() if token.startswith("\u0120")]] = True
 
-    def many(strings: list[str]) -> list[bytes]:
+    def many(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Strings that hold one space, at their start, are encoded together: the ids of each begin with such a token."""
-        out, together = [b""] * len(strings), []
-        for i, s in enumerate(strings):
-            if s[:1] == " " and " " not in s[1:]:
-                together.append(i)
-            else:
-                out[i] = np.array(library.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        groups = [together[at:at + 500] for at in range(0, len(together), 500)]
+        parts, counts, order = [np.zeros(0, np.uint32)], [], []
+        rest = range(len(strings))
+        spaced = [i for i in rest if strings[i][:1] == " " and " " not in strings[i][1:]]
+        groups = [spaced[at:at + 500] for at in range(0, len(spaced), 500)]
         for group, found in zip(groups, library.encode_batch_fast(["".join([strings[i] for i in g]) for g in groups], add_special_tokens=False)):
-            ids = np.array(found.ids, "<u4")
+            ids = np.array(found.ids, np.uint32)
             first = np.flatnonzero(begins[ids])
             if len(first) != len(group):
                 raise ValueError("the vocabulary joins what lies beside a space")
-            blob, ends = ids.tobytes(), [*(first[1:] * 4).tolist(), len(ids) * 4]
-            at = 0
-            for i, end in zip(group, ends):
-                out[i] = blob[at:end]
-                at = end
-        return out
+            parts.append(ids)
+            counts += np.diff(np.append(first, len(ids))).tolist()
+        order += spaced
+        for i in sorted(set(rest).difference(spaced)):
+            parts.append(np.array(library.encode(strings[i], add_special_tokens=False).ids, np.uint32))
+            counts.append(len(parts[-1]))
+            order.append(i)
+        ids, counts, back = np.concatenate(parts), np.array(counts, np.int64), np.argsort(np.array(order, np.int64))
+        starts = np.cumsum(counts) - counts
+        return gather(ids, starts[back], counts[back]), counts[back]
 
-    return ChunkEncoder(many), library.get_vocab_size()
+    return WordEncoder(many), library.get_vocab_size()
 
 
 def write_records(docs: DataFrame, vocabulary: str, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -184,9 +187,7 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int = 0, key: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, sink, index, at, tokens = None, TaskContext.get().partitionId(), None, [], 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in C.in_lots(batches, LOT):
             if sink is None:
                 encoder, size = C.kept_in_process(f"records {vocabulary}", lambda: library_encoder(vocabulary))
                 dtype = "<u2" if size <= 1 << 16 else "<u4"
@@ -194,12 +195,15 @@ def write_records(docs: DataFrame, vocabulary: str, end_id: int = 0, key: str =
                 system.create_dir(root, recursive=True)
                 name = f"part-{part:05d}-{uuid.uuid4().hex}"
                 sink = system.open_output_stream(f"{root}/{name}.rec")
-            end = np.array([end_id], "<u4").tobytes()
-            ids = [np.frombuffer(x + end, "<u4").astype(dtype) for x in encoder.encode(C.texts(C.column(batch, "text")))]
-            blob, offsets = frame([x.tobytes() for x in ids])
+            found, counts = encoder.encode(C.texts(C.column(batch, "text")))
+            counts = counts + 1
+            ids = np.full(int(counts.sum()), end_id, dtype)
+            inner = np.ones(len(ids), bool)
+            inner[np.cumsum(counts) - 1] = False
+            ids[inner] = found
+            blob, offsets = frame(ids.view(np.uint8), counts * ids.itemsize)
             sink.write(blob)
             keys = C.column(batch, "doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            counts = np.array([len(x) for x in ids], np.int64)
             index.append(np.stack([keys, offsets + at, counts], 1))
             at, tokens = at + len(blob), tokens + int(counts.sum())
         if sink is not None:

@@ -12,14 +12,14 @@ from tokenizers import Tokenizer
 from telewatch.llm import bpe, queries, records
 from telewatch.llm.chunks import cut
 
-TEXTS = ["", None, " ", "  two  spaces \n\n and lines ", "a" * 3000, " " * 700, "don't we'll\t\tx", "<|endoftext|> here", "日本語 テキスト é á",
+TEXTS = ["", None, " ", "  two  spaces \n\n and lines ", "a" * 3000, " " * 700, "don't we'll\t\tx", "<|endoftext|> here", "a <|endoftext|> b<|endoftext|>c, <|endoftext|>, <|endoftext| x", "word, word,*** word's, word'. (word). é!! 日本。,",
+         "日本語 テキスト é á",
          "x\x1cy \x1c z\x85 \xa0q", "same text here", "same text here", "word " * 400, "1234 56-7"]
 
 
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(queries.BYTE_BPE)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids + [0]
 
 
@@ -32,7 +32,7 @@ def test_checksums():
 
 
 def test_damage_is_found():
-    blob, offsets = records.frame([b"\1\0\2\0", b"\3\0"])
+    blob, offsets = records.frame(np.frombuffer(b"\1\0\2\0\3\0", np.uint8), np.array([4, 2]))
     assert [x.tolist() for x in records.unframe(blob, offsets, np.array([2, 1]), "<u2")] == [[1, 2], [3]]
     for at in (0, 13):
         bad = bytearray(blob)
@@ -49,6 +49,18 @@ def test_cut_never_splits_a_piece():
         assert [p for c in [first, *(" " + x for x in later)] for p in pattern.findall(c)] == pattern.findall(t)
 
 
+def test_few_words_are_kept_and_nothing_changes(library):
+    encoder, _ = records.library_encoder(queries.BYTE_BPE)
+    encoder.keep = 40
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        words = [f"{'ab'[k % 2]}{'xyz' * (k % 7)}{['', ',', '***', '.', chr(39) + 's', chr(39)][k % 6]}" for k in rng.integers(0, 400, 60)]
+        texts = [" ".join(words[:k]) for k in (0, 1, 30, 60)] + [" a  b ", "x " + " ".join(words[:3])]
+        ids, counts = encoder.encode(texts)
+        assert [x.tolist() + [0] for x in np.split(ids, np.cumsum(counts)[:-1])] == [library(t) for t in texts]
+        assert len(encoder.known) <= 40 + 200  # what one batch asks for comes on top
+
+
 def test_token_records(spark, documents, library):
     docs = documents(TEXTS).withColumnRenamed("lang", "ids").repartition(3)
     got = sorted(map(tuple, records.token_records(spark, docs, queries.BYTE_BPE).collect()))
