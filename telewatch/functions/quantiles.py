@@ -2,8 +2,10 @@
 
 `percentile` keeps every distinct value of a group in one task. That is right where the group is bounded
 (the hours of one station, the events of one window), and wrong for a pooled channel, where one group may
-hold most of the table. `pooled_quantile` is exact there too: a fixed-size sketch brackets the wanted rank,
-rows below the bracket are only counted, and only the rows inside it are counted value by value and ordered.
+hold most of the table. `pooled_quantiles` is exact there too, by counted refinement: a sketch of the range that holds the wanted rank says
+where to cut it, the rows below, at, between and above the cuts are counted, and the part with the rank becomes the next range. A round
+sends sketches and five counts per key and task, whatever the table holds, and leaves some hundredth of the rows. When a range holds no more
+than `BOUND` rows, these are ordered.
 """
 
 from __future__ import annotations
@@ -14,53 +16,76 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10_000
+from telewatch.sources.tables import materialise
+
+GRID, ACCURACY, BOUND = 256, 5_000, 10_000
+SALTS = 32
 
 
 def median(value: str | Column) -> Column:
     return F.percentile(value, F.lit(0.5))
 
 
-def pooled_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, out: str,
-    accuracy: int = SKETCH_ACCURACY, few_keys: bool = True,
+def pooled_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, out: str, few_keys: bool = True) -> DataFrame:
+    """One row per key with the linearly interpolated quantile `q` of its `value`s."""
+    return pooled_quantiles(df, keys, {out: (F.col(value), q)}, few_keys)
+
+
+def pooled_quantiles(
+    df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[Column, float]], few_keys: bool = True,
+    grid: int = GRID, accuracy: int = ACCURACY, bound: int = BOUND,
 ) -> DataFrame:
-    """One row per key with the linearly interpolated quantile `q` of the non-null `value`s.
+    """One row per key with a column for each of `wanted`: the linearly interpolated quantile of the values that are neither null nor NaN.
 
-    The bracket is four sketch errors wide on both sides, so it holds about 8 / accuracy of the group. That it holds
-    the wanted rank is checked against the counts. `few_keys` says that the keys are a fixed vocabulary or a calendar, so that the
-    sketches may be broadcast; otherwise they are joined like any other table.
+    All of `wanted` are refined side by side; a round reads `df` once. `few_keys` says that the keys are a fixed vocabulary or a calendar, so that
+    the ranges (one row per key) may be broadcast; otherwise ranges and rows meet on key and a salt, which spreads a key that holds much of the table.
     """
-    keys = list(keys)
-    data = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
-    slack = 4.0 / accuracy
-    edges = [max(q - slack, 0.0), min(q + slack, 1.0)]
-    sketch = data.groupBy(*keys).agg(
-        F.percentile_approx("_v", edges, accuracy).alias("_e"),
-        F.min("_v").alias("_min"), F.max("_v").alias("_max"), F.count("_v").alias("_n"),
-    )
-    # a small group is its own bracket; in a larger one the slack is at least eight ranks, of which the sketch may err two
-    whole = F.col("_n") <= 2 * accuracy
-    low = F.lit(edges[0] == 0.0) | whole
-    high = F.lit(edges[1] == 1.0) | whole
-    sketch = sketch.select(
-        *keys, (F.lit(q) * (F.col("_n") - 1)).alias("_pos"),
-        F.when(low, F.col("_min")).otherwise(F.col("_e")[0]).alias("_lo"),
-        F.when(high, F.col("_max")).otherwise(F.col("_e")[1]).alias("_hi"))
-    bracketed = data.join(F.broadcast(sketch) if few_keys else sketch, keys).where(F.col("_v") <= F.col("_hi"))
-    # everything below the bracket collapses into a single counted row per key, map side
-    inside = F.when(F.col("_v") >= F.col("_lo"), F.col("_v"))
-    counted = bracketed.groupBy(*keys, "_pos", inside.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    order = W.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    ranked = counted.withColumn("_upto", F.sum("_c").over(order)).withColumn("_from", F.col("_upto") - F.col("_c"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_from") <= rank) & (rank < F.col("_upto")), F.col("_v")))
-
-    lower, upper = F.floor("_pos"), F.ceil("_pos")
-    weight = F.max(F.col("_pos") - lower)
-    found = ranked.groupBy(*keys).agg(at(lower).alias("_a"), at(upper).alias("_b"), weight.alias("_w"))
-    # the counted ranks say whether the bracket held the wanted one; a quantile is never silently missing
-    missed = F.col("_a").isNull() | F.col("_b").isNull()
-    exact = (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).cast("double")
-    return found.select(*keys, F.when(missed, F.raise_error(F.lit("the sketch missed the rank")).cast("double")).otherwise(exact).alias(out))
+    keys, by = list(keys), [*keys, "_m"]
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_m"), c.cast("double").alias("_v")) for i, (c, _) in enumerate(wanted.values())]))
+    data = df.select(*keys, cells.alias("_c")).select(*keys, "_c.*").where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    share = F.array(*[F.lit(q) for _, q in wanted.values()])[F.col("_m")]
+    ranges = materialise(data.groupBy(*by).agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).select(
+        *by, (share * (F.col("_n") - 1)).alias("_pos"), "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_inside"),
+        F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_a"), F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("_b")), "quantile_ranges")
+
+    def within(some: DataFrame) -> DataFrame:
+        """Rows of `data` inside the ranges of `some`."""
+        if few_keys:
+            met = data.join(F.broadcast(some), by)
+        else:
+            salt = F.pmod(F.xxhash64("_v", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+            each = some.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            met = data.withColumn("_salt", salt).join(each, [*by, "_salt"])
+        return met.where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+
+    def around(counted: DataFrame, order: str, carried: Sequence[str]) -> DataFrame:
+        """Of counted rows in order: what holds the ranks on both sides of the wanted place."""
+        upto = F.sum("_c").over(W.partitionBy(*by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))  # five rows, or `bound`
+        ranked = counted.withColumn("_from", F.col("_below") + upto - F.col("_c"))
+        here = {s: (F.col("_from") <= rank) & (rank < F.col("_from") + F.col("_c")) for s, rank in (("l", F.floor("_pos")), ("r", F.ceil("_pos")))}
+        return ranked.groupBy(*by, "_pos").agg(*[F.max(F.when(on, F.struct(*carried))).alias(f"_{s}") for s, on in here.items()])
+
+    open_ = F.col("_a").isNull() & (F.col("_inside") > bound)
+    while ranges.where(open_).limit(1).count():
+        here = within(ranges.where(open_)).withColumn("_at", F.floor((F.col("_pos") - F.col("_below")) / (F.col("_inside") - 1) * grid))
+        # the sketch only proposes where to cut; what is counted is counted exactly, so a bad cut costs a round and no more
+        edges = here.groupBy(*by, "_at").agg(F.percentile_approx("_v", [k / grid for k in range(grid + 1)], accuracy).alias("_e"))
+        cuts = edges.select(*by, F.get("_e", F.greatest(F.col("_at") - 1, F.lit(0)).cast("int")).alias("_low"),
+                            F.get("_e", F.least(F.col("_at") + 2, F.lit(grid)).cast("int")).alias("_high"))
+        v = F.col("_v")
+        place = F.when(v < F.col("_low"), 0).when(v == F.col("_low"), 1).when(v < F.col("_high"), 2).when(v == F.col("_high"), 3).otherwise(4)
+        counted = within(ranges.where(open_).join(cuts, by)).groupBy(*by, "_pos", "_below", place.alias("_bin")).agg(
+            F.count("_v").alias("_c"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+        found = around(counted, "_bin", ["_bin", "_c", "_from", "_min", "_max"])
+        # both ranks in one part: go on in it; in two: the last value of the one and the first of the other are known
+        done = (F.col("_l._bin") != F.col("_r._bin")) | (F.col("_l._min") == F.col("_l._max"))
+        closer = found.select(
+            *by, "_pos", F.col("_l._min").alias("_lo"), F.col("_l._max").alias("_hi"), F.col("_l._from").alias("_below"), F.col("_l._c").alias("_inside"),
+            F.when(done, F.col("_l._max")).alias("_a"), F.when(done, F.col("_r._min")).alias("_b"))
+        ranges = materialise(ranges.where(~open_).unionByName(closer), "quantile_ranges")
+    rest = within(ranges.where("_a IS NULL")).groupBy(*by, "_pos", "_below", "_v").agg(F.count("_v").alias("_c"))
+    last = around(rest, "_v", ["_v"]).select(*by, "_pos", F.col("_l._v").alias("_a"), F.col("_r._v").alias("_b"))
+    both = ranges.where("_a IS NOT NULL").select(*by, "_pos", "_a", "_b").unionByName(last)
+    between = F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_pos") - F.floor("_pos"))
+    exact = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(between)
+    return both.groupBy(*keys).agg(*[F.max(F.when(F.col("_m") == i, exact)).alias(out) for i, out in enumerate(wanted)])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from telewatch.functions import vocab as V
 from telewatch.functions.columns import first_match, is_true, joined, sensor_group, shift_hours, tokens, whole_hours
 from telewatch.operators.intervals import number_runs
+from telewatch.sources.tables import materialise
 
 DETECTOR_FLAG = {
     "physical": lambda: is_true("flag_physical") | is_true("flag_physical_suspect"),
@@ -45,46 +45,66 @@ def fault_events(scores: DataFrame, max_gap_hours: int = 0) -> DataFrame:
         "max_abs_zscore", "max_iforest_score", "min_rolling_variance", "reasons")
 
 
-def _openers(seq, start, end, tolerance: int) -> list[int]:
-    """The events of an island that open an episode, in one pass."""
-    found, first, reach = [], None, None
-    for n, s, e in zip(seq.tolist(), start.tolist(), end.tolist()):
-        if first is not None and s - first <= tolerance and s <= reach:
-            reach = max(reach, e)
-        else:
-            found.append(n)
-            first, reach = s, e
-    return found
+def _next_opener(tolerance: int) -> Column:
+    """The sequence number of the event that opens the next episode of the station, were this event an opener.
+
+    That is the first later event that starts after all ends from this one on, or else the first beyond the tolerance. The events
+    that start within it are at most the channels times the hours of the tolerance.
+    """
+    start, end = F.unix_micros("start_hour"), F.unix_micros("end_hour")
+    near = W.partitionBy("station_id").orderBy(start).rangeBetween(0, tolerance)
+    later = F.filter(F.array_sort(F.collect_list(F.struct("_seq", start.alias("s"), end.alias("e"))).over(near)), lambda x: x["_seq"] > F.col("_seq"))
+    begin = F.struct(end.alias("reach"), F.lit(None).cast("int").alias("found"))
+
+    def further(so_far: Column, x: Column) -> Column:
+        return F.struct(F.greatest(so_far["reach"], x["e"]).alias("reach"),
+                        F.coalesce(so_far["found"], F.when(x["s"] > so_far["reach"], x["_seq"])).alias("found"))
+
+    last = F.greatest(F.col("_seq"), F.coalesce(F.array_max(F.transform(later, lambda x: x["_seq"])), F.col("_seq")))
+    return F.coalesce(F.aggregate(later, begin, further)["found"], last + 1)
+
+
+def _reached(steps: DataFrame) -> DataFrame:
+    """(station_id, _seq) of the rows that pointers lead to from the marked ones, by pointer doubling.
+
+    `steps` has station_id, _seq, _jump (null where there is no next row) and _marked. In each round every marked row marks the row that
+    it points to, and every pointer is replaced by the pointer of that row: a chain of n rows takes log2(n) rounds.
+    """
+    while steps.where("_marked AND _jump IS NOT NULL").limit(1).count():
+        hit = steps.where("_marked AND _jump IS NOT NULL").select("station_id", F.col("_jump").alias("_seq"), F.lit(True).alias("_hit")).distinct()
+        onward = steps.select("station_id", F.col("_seq").alias("_jump"), F.col("_jump").alias("_onward"))
+        steps = materialise(
+            steps.join(hit, ["station_id", "_seq"], "left").join(onward, ["station_id", "_jump"], "left").select(
+                "station_id", "_seq", F.col("_onward").alias("_jump"), (F.col("_marked") | F.coalesce("_hit", F.lit(False))).alias("_marked")), "episode_pointers")
+    return steps.where("_marked").select("station_id", "_seq")
 
 
 def assign_episodes(events: DataFrame, tolerance_hours: int = V.ONSET_TOLERANCE_HOURS) -> DataFrame:
-    """Add `anchor`, the sequence number of the episode's first event within its station's island.
+    """Add `anchor`, the sequence number of the episode's first event within its station.
 
     Events in start order join the open episode while they start within the tolerance of its first event and not
     after its running end. Where an event starts after every earlier end, or later than its predecessor by more than the
-    tolerance, an episode ends in any case; these sure breaks cut a station into islands, and the lists inside an island are read in order.
+    tolerance, an episode opens in any case; these sure openers cut a station into islands. Which further event opens an episode depends on the
+    opener before it alone, so every event points to the opener that would follow it, and the pointers are followed from the sure ones.
+    Islands without a second opener, nearly all, need no round of that.
     """
-    order = ["start_hour", "channel"]
-    station = W.partitionBy("station_id").orderBy(*order)
-    reach = F.max("end_hour").over(station.rowsBetween(W.unboundedPreceding, -1))
-    late = F.unix_micros("start_hour") - F.unix_micros(F.lag("start_hour").over(station)) > tolerance_hours * 3_600_000_000
-    sure = F.coalesce((F.col("start_hour") > reach) | late, F.lit(True)).cast("long")
-    islands = events.withColumn("_sure", sure).withColumns({
-        "_island": F.sum("_sure").over(station.rowsBetween(W.unboundedPreceding, 0)),
-        "_seq": F.row_number().over(station)})
-    step = F.struct("_seq", F.unix_micros("start_hour").alias("s"), F.unix_micros("end_hour").alias("e"))
-    lists = islands.groupBy("station_id", "_island").agg(F.array_sort(F.collect_list(step)).alias("_steps"))
-    lists = lists.select("station_id", *[F.col("_steps")[c].alias(c) for c in ("_seq", "s", "e")])
     tolerance = tolerance_hours * 3_600_000_000
-
-    @F.pandas_udf("array<int>")
-    def openers(seq: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-        return pd.Series([_openers(*lists, tolerance) for lists in zip(seq, start, end)])
-
-    anchors = lists.select("station_id", F.explode(openers("_seq", "s", "e")).alias("_seq"))
-    placed = islands.join(anchors.withColumn("_anchor", F.col("_seq")), ["station_id", "_seq"], "left")
+    station = W.partitionBy("station_id").orderBy("start_hour", "channel")
+    reach = F.max("end_hour").over(station.rowsBetween(W.unboundedPreceding, -1))
+    late = F.unix_micros("start_hour") - F.unix_micros(F.lag("start_hour").over(station)) > tolerance
+    rows = events.withColumns({"_seq": F.row_number().over(station), "_sure": F.coalesce((F.col("start_hour") > reach) | late, F.lit(True))})
+    rows = rows.withColumn("_after", F.min(F.when(F.col("_sure"), F.col("_seq"))).over(station.rowsBetween(1, W.unboundedFollowing)))
+    rows = rows.withColumn("_next", _next_opener(tolerance))
+    upto = F.max("_seq").over(W.partitionBy("station_id"))
+    inside = F.col("_next") < F.coalesce("_after", upto + 1)  # the next island's first event opens anyway
+    placed = materialise(rows.withColumn("_jump", F.when(inside, F.col("_next"))).drop("_next", "_after"), "placed_events")
+    root = F.last(F.when(F.col("_sure"), F.col("_seq")), ignorenulls=True).over(W.partitionBy("station_id").orderBy("_seq").rowsBetween(W.unboundedPreceding, 0))
+    chained = placed.select("station_id", "_seq", "_jump", F.col("_sure").alias("_marked"), root.alias("_root"))
+    open_ = F.max(F.col("_marked") & F.col("_jump").isNotNull()).over(W.partitionBy("station_id", "_root"))
+    steps = materialise(chained.withColumn("_open", open_).where("_open").drop("_open", "_root"), "episode_pointers")
+    openers = placed.where("_sure").select("station_id", "_seq").unionByName(_reached(steps)).distinct().withColumn("_anchor", F.col("_seq"))
     running = W.partitionBy("station_id").orderBy("_seq").rowsBetween(W.unboundedPreceding, 0)
-    return placed.withColumn("anchor", F.max("_anchor").over(running)).drop("_sure", "_island", "_seq", "_anchor")
+    return placed.join(openers, ["station_id", "_seq"], "left").withColumn("anchor", F.max("_anchor").over(running)).drop("_sure", "_seq", "_jump", "_anchor")
 
 
 EPISODE_COLUMNS = [

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from telewatch.functions import columns as C
 from telewatch.functions import vocab as V
-from telewatch.functions.quantiles import pooled_quantile
+from telewatch.functions.quantiles import pooled_quantile, pooled_quantiles
 
 
 def values(df, name):
@@ -52,14 +52,44 @@ def test_haversine_and_time_helpers(spark):
         "2025-06-01 10:15:00", "2025-06-01T10:17:00Z", "2025-06-01 10:17:00+0000", "network_midnight")
 
 
-@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.997, 1.0])
-def test_pooled_quantile_is_exact(spark, q):
+def test_a_pooled_quantile_of_a_large_key(spark):
     rng = np.random.default_rng(3)
-    groups = {"hot": np.round(rng.exponential(20, 30000), 3), "flat": np.repeat(5.0, 200), "tiny": np.array([1.0, 2.0]),
-              "spike": np.concatenate([np.zeros(900), rng.normal(size=100)])}
-    rows = [(k, float(x)) for k, xs in groups.items() for x in xs] + [("hot", None)]
-    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
-    # a coarse sketch makes the bracket do the work
-    got = {r.k: r.q for r in pooled_quantile(df, ["k"], "v", q, "q", accuracy=100).collect()}
-    for k, xs in groups.items():
-        assert got[k] == pytest.approx(np.percentile(xs, 100 * q), rel=1e-12, abs=1e-12)
+    groups = {"hot": np.round(rng.exponential(20, 30000), 3), "flat": np.repeat(5.0, 200), "spike": np.concatenate([np.zeros(900), rng.normal(size=100)])}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in groups.items() for x in xs], "k string, v double").repartition(4)
+    got = {r.k: r.q for r in pooled_quantile(df, ["k"], "v", 0.997, "q").collect()}
+    assert all(got[k] == pytest.approx(np.percentile(xs, 99.7), rel=1e-12, abs=1e-12) for k, xs in groups.items())
+
+
+@pytest.mark.parametrize("q,few_keys", [(0.0, True), (0.25, False), (0.9, True), (0.997, False), (1.0, True)])
+def test_pooled_quantiles_are_exact(spark, q, few_keys):
+    rng = np.random.default_rng(8)
+    groups = {"normal": rng.normal(size=3001), "skewed": 10.0 ** rng.uniform(-300, 300, 1500), "ties": rng.integers(0, 4, 2000).astype(float), "same": np.full(500, 7.0),
+              "wide": np.array([-1.7e308, 0.0, 1.0, 1.7e308]), "one": np.array([3.0]), "two": np.array([1.0, 2.0]), "half": np.r_[np.zeros(1000), np.ones(1000)],
+              "none": np.zeros(0)}
+    rows = [(k, float(x), float(-x)) for k, xs in groups.items() for x in xs] + [("none", None, None), ("normal", float("nan"), None)]
+    df = spark.createDataFrame(rows, "k string, v double, w double").repartition(3)
+    got = {r.k: (r.a, r.b) for r in pooled_quantiles(df, ["k"], {"a": (F.col("v"), q), "b": (F.col("w"), 0.5)}, few_keys, grid=8, accuracy=40, bound=20).collect()}
+    assert got.keys() == groups.keys() - {"none"}
+
+    def exact(xs, q):
+        xs, at = sorted(xs.tolist()), q * (len(xs) - 1)
+        low, high = xs[int(np.floor(at))], xs[int(np.ceil(at))]
+        return low + (high - low) * (at - np.floor(at))
+
+    assert got == {k: (exact(xs, q), exact(-xs, 0.5)) for k, xs in groups.items() if len(xs)}
+
+
+def test_infinite_values_are_ordered(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([("k", x) for x in [-inf] * 3 + [1.0, 2.0, 3.0, 4.0, 5.0] + [inf] * 2], "k string, v double")
+    got = pooled_quantiles(df, ["k"], {"a": (F.col("v"), 0.0), "m": (F.col("v"), 4 / 9), "z": (F.col("v"), 1.0)}, grid=4, bound=1).first()
+    assert (got.a, got.m, got.z) == (-inf, 2.0, inf)
+
+
+def test_no_key_is_ordered_in_one_task(spark):
+    df = spark.range(200_000).select(F.lit("k").alias("k"), F.randn(5).alias("v")).repartition(8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    out = pooled_quantile(df, ["k"], "v", 0.5, "q")
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in text and "collect" not in text and before == spark.conf.get("spark.sql.shuffle.partitions")
+    assert out.first().q == df.select(F.percentile("v", F.lit(0.5))).first()[0]
