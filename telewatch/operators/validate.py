@@ -155,7 +155,7 @@ def irregular_steps(gap: DataFrame, step_seconds: int, key: str = "station_id",
     return gap.select(key, time, wrong.alias("_wrong")).groupBy(key).agg(F.count_if("_wrong").alias("bad_steps"))
 
 
-def station_file_checks(raw_files: DataFrame, gap_files: DataFrame, raw: DataFrame, gap: DataFrame, expected_stations: int) -> DataFrame:
+def station_file_checks(raw_files: DataFrame, gap_files: DataFrame, raw: DataFrame, gap: DataFrame, expected_stations: int, step_seconds: int = 300) -> DataFrame:
     """Per-station files against the pooled tables. Both file tables carry `file_station_id` from the file name."""
     other = F.count_if(~F.col("station_id").eqNullSafe(F.col("file_station_id")))
 
@@ -171,7 +171,7 @@ def station_file_checks(raw_files: DataFrame, gap_files: DataFrame, raw: DataFra
         gap_files.agg(F.countDistinct("file_station_id").alias("gap_n"), other.alias("gap_other")),
         unequal(per_file(raw_files), station_counts(raw), "raw_unequal"), unequal(per_file(gap_files), station_counts(gap), "gap_unequal"),
         unequal(per_file(gap_files, F.col("data_present") == 1), station_counts(raw), "present_unequal"),
-        irregular_steps(gap_files, 300, "file_station_id").agg(F.count_if(F.col("bad_steps") > 0).alias("irregular")))
+        irregular_steps(gap_files, step_seconds, "file_station_id").agg(F.count_if(F.col("bad_steps") > 0).alias("irregular")))
     ids = F.col("raw_other") + F.col("gap_other")
     return read_off(n, [
         ("station_file_counts", (F.col("raw_n") == expected_stations) & (F.col("gap_n") == expected_stations), "Exact files", F.col("raw_n")),

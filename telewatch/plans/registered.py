@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from telewatch.plans import oracle  # noqa: F401
 from telewatch.plans import (  # noqa: F401
-    anomaly_queries, availability_queries, confirmation_queries, investigation_queries, review_queries,
+    anomaly_queries, availability_queries, confirmation_queries, investigation_queries, review_queries, source_queries,
 )
 from telewatch.plans.catalog import QUERIES, Query, oracle_text, spark_result
 

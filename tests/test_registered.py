@@ -38,7 +38,7 @@ def test_entry(spark):
 
 CHECKED = ["latest_per_bin", "complete_local_grid", "station_manifest", "audit_summary", "classified_events", "station_reliability", "cooccurrence",
            "window_geography", "window_durations", "window_recovery", "observation_cadence", "anomaly_scores", "fault_episodes", "review_queue",
-           "channel_confirmation", "relabelled_episodes", "gap_table_checks"]
+           "channel_confirmation", "relabelled_episodes", "gap_table_checks", "committed_stages", "station_file_checks", "station_file_headers", "rejected_text", "published_columns"]
 
 
 @needs_tables

@@ -1,9 +1,11 @@
 import datetime as dt
+import os
 
+import pytest
 from pyspark.sql import types as T
 
 from telewatch.functions import vocab as V
-from telewatch.sources import shape, tables
+from telewatch.sources import commits, rejects, shape, station_files, tables
 
 
 def test_csv_nan_and_zoneless_time_are_normalised(spark, tmp_path):
@@ -83,3 +85,42 @@ def test_reference_coverage_and_manifest(spark):
 def test_materialised_tables_lie_in_the_shared_folder(spark):
     stored = tables.materialise(spark.range(3), "numbers")
     assert all(tables.shared_folder(spark) in f for f in stored.inputFiles()) and stored.count() == 3
+
+
+def test_a_stage_is_what_its_manifest_names(spark, tmp_path):
+    root, df = str(tmp_path), spark.range(10).withColumnRenamed("id", "v").repartition(3)
+    commits.write_committed(df, root, "t", "raw")
+    commits.write_attempt(df.where("v > 7"), root, "t", "raw")  # a writer that never commits
+    assert commits.read_committed(spark, root, "t", "raw").count() == 10 and commits.damage(spark, root, "t", "raw").count() == 0
+    again = commits.write_committed(commits.read_committed(spark, root, "t", "raw").where("v < 4"), root, "t", "raw")
+    assert sorted(r.v for r in commits.read_committed(spark, root, "t", "raw").collect()) == [0, 1, 2, 3]
+    empty = commits.write_committed(df.where("v < 0"), root, "t", "none")
+    assert empty and commits.read_committed(spark, root, "t", "none").count() == 0
+    folder = tmp_path / "t" / "data" / "raw" / again
+    lost = next(p for p in sorted(folder.glob("part-*.parquet")) if spark.read.parquet(str(p)).count())
+    os.remove(lost)
+    with pytest.raises(ValueError, match="differ from the manifest"):
+        commits.read_committed(spark, root, "t", "raw")
+
+
+def test_rejected_cells_leave_their_text(spark):
+    rows = [(1, "2024-05-01T10:00:00Z", "1.5", "7"), (2, "2024-05-01 10:00:00+0000", "NaN", " 8 "), (3, "2024-02-30", "1,5", "x"), (4, None, "", "n/a"), (5, "2024-05-01", "1e400", "9.5")]
+    out = rejects.coerce(spark.createDataFrame(rows, "id int, t string, v string, n string"), {"t": "timestamp", "v": "double", "n": "long"})
+    got = {r.id: (r.t, r.v, r.n) for r in out.collect()}
+    day = dt.datetime(2024, 5, 1)
+    assert got[1] == (day.replace(hour=10), 1.5, 7) and got[2][0] == day.replace(hour=10) and got[2][2] == 8 and got[3] == (None, None, None) and got[4] == (None, None, None)
+    bad = sorted((r.id, r.column, r.text) for r in rejects.rejects(out, ["id"]).collect())
+    assert [x for x in bad if x[0] in (1, 2, 4)] == [] and [x for x in bad if x[0] == 3] == [(3, "n", "x"), (3, "t", "2024-02-30"), (3, "v", "1,5")]
+
+
+def test_headers_are_checked_by_task(spark, tmp_path):
+    df = spark.createDataFrame([("A", dt.datetime(2024, 1, 1), 1.0), ("A", dt.datetime(2024, 1, 2), 1.0), ("B", dt.datetime(2024, 1, 1), 2.0)], "station_id string, t timestamp, v double")
+    root = str(tmp_path / "f")
+    station_files.write_station_csv(df.where("station_id = 'A'"), root, "t")
+    station_files.write_station_csv(df.where("station_id = 'B'").withColumnRenamed("v", "qcStatus"), root, "t", "append")
+    found = station_files.headers(spark, root)
+    assert {(r.file_station_id, r.header) for r in found.collect()} == {("A", "station_id,t,v"), ("B", "station_id,t,qcStatus")}
+    got = {r.name: r.failing_stations for r in station_files.header_faults(found, ["station_id", "t", "v"]).collect()}
+    assert got == {"header_columns_match": 1, "header_no_old_names": 1, "header_snake_case": 1, "header_no_redundant_metadata": 0}
+    back = station_files.read_station_csv(spark, root, df.schema).where("station_id = 'A'")
+    assert sorted((r.station_id, r.t, r.v, r.file_station_id) for r in back.collect()) == [("A", dt.datetime(2024, 1, d), 1.0, "A") for d in (1, 2)]
