@@ -1,7 +1,7 @@
 """Passages of a benchmark in documents, on DataFrame functions only.
 
 A window of a document is as long as the benchmark item it may hold, in words. Windows lie where a shared five-word shingle puts the
-item's first word: a window without one has similarity 0. Equal windows are examined once. Each gets a 64-bit SimHash of its shingles,
+item's first word: a window without one has similarity 0. (An item of fewer words is one shingle, and windows of its length are taken.) Equal windows are examined once. Each gets a 64-bit SimHash of its shingles,
 repeated shingles weighing more, and meets the items of its length in a multi-index Hamming join: two fingerprints that differ in at most
 `RADIUS` bits differ in at most ERRORS bits of some block (pigeonhole), and all such variants of the items' blocks are enumerated. Candidates
 are verified by the exact weighted similarity of their shingles, sum of least counts over sum of greatest counts.
@@ -20,6 +20,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from telewatch.llm.common import free_name
 from telewatch.llm.rules import SPACE, UPPER
 from telewatch.sources.tables import materialise
 
@@ -73,7 +74,23 @@ def row_name(key: str, text: str) -> Column:
 def _windows(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFrame:
     """row, doc_id, size, start and words of every window that a shared shingle points to."""
     source = docs.select(row_name(key, text).alias("row"), F.col(f"`{key}`").alias("doc_id"), _words(F.col(f"`{text}`")).alias("w"))
-    shingles = _with_shingles(source, "row", "doc_id").select("row", "doc_id", "w", F.posexplode_outer("s").alias("place", "shingle"))
+    # an item of fewer words than a shingle has one shingle, all its words; texts of any length are read at that length too
+    short = sorted(r.n for r in items.select(F.size("w").alias("n")).filter(F.col("n") < SHINGLE).distinct().collect())  # at most four
+    at = F.transform("s", lambda x, i: F.struct(i.cast("int").alias("place"), x.alias("shingle")))
+
+    def runs(n: int) -> Column:
+        """Every run of n words, in a text that has them."""
+        places = F.sequence(F.lit(0), F.greatest(F.size("h") - n, F.lit(0)))
+        each = F.transform(places, lambda i: F.struct(i.cast("int").alias("place"), F.xxhash64(*[F.get("h", i + k) for k in range(n)]).alias("shingle")))
+        return F.when(F.size("h") >= n, each).otherwise(F.slice(each, 1, 0))
+
+    shingles = _with_shingles(source, "row", "doc_id")
+    if short:
+        hashed = shingles.select("row", "doc_id", "w", "s", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+        shingles = hashed.select("row", "doc_id", "w", F.explode(F.concat(at, *[runs(n) for n in short])).alias("x"))
+    else:
+        shingles = shingles.select("row", "doc_id", "w", F.explode(at).alias("x"))
+    shingles = shingles.select("row", "doc_id", "w", "x.place", "x.shingle")
     wanted = items.select(F.size("w").alias("size"), F.posexplode("s").alias("offset", "shingle")).distinct()
     blocks = max(1, -(-wanted.count() // BROADCAST_ROWS))
     found = None
@@ -128,15 +145,18 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    held = materialise(leaks(docs, benchmark, key, text).select(F.col("row").alias("_row")).distinct(), "leaks")
-    return docs.withColumn("_row", row_name(key, text)).join(held, "_row", "left_anti").drop("_row")
+    name = free_name(docs, "_row")
+    held = materialise(leaks(docs, benchmark, key, text).select(F.col("row").alias(name)).distinct(), "leaks")
+    return docs.withColumn(name, row_name(key, text)).join(held, name, "left_anti").drop(name)
 
 
 SQL = f"""
     WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
     i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM benchmark),
     ds AS (SELECT doc_id, w, p, array_to_string(w[p + 1:p + {SHINGLE}], ' ') AS g
-           FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {SHINGLE - 1}, 1))) AS p FROM d WHERE len(w) > 0)),
+           FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {SHINGLE - 1}, 1))) AS p FROM d WHERE len(w) > 0)
+           UNION ALL SELECT doc_id, w, p, array_to_string(w[p + 1:p + m], ' ') FROM (SELECT doc_id, w, m, unnest(range(0, len(w) - m + 1)) AS p
+             FROM d JOIN (SELECT DISTINCT len(w) AS m FROM i WHERE len(w) BETWEEN 1 AND {SHINGLE - 1}) ON len(d.w) >= m)),
     i_s AS (SELECT item_id, w, len(w) AS size, p, array_to_string(w[p + 1:p + {SHINGLE}], ' ') AS g
            FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - {SHINGLE - 1}, 1))) AS p FROM i WHERE len(w) > 0)),
     hit AS (SELECT DISTINCT doc_id, item_id, size, start, w[start + 1:start + size] AS w

@@ -219,6 +219,7 @@ def without_copies(docs: DataFrame, size: int = 5, percent: int = 80, key: str =
     """The document with the smallest id of every group, with all its columns; a repeated row stays once."""
     gone = materialise(near_duplicates(docs, size, percent, key, text).filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct(), "copies")
     kept = docs.join(gone, key, "left_anti")
-    before = F.lag(F.struct(F.col(text))).over(Window.partitionBy(key).orderBy(text))
-    repeated = F.coalesce(before == F.struct(F.col(text)), F.lit(False)) & F.col(key).isNotNull()
-    return kept.withColumn("_repeated", repeated).filter(~F.col("_repeated")).drop("_repeated")
+    # rows of one id are compared with rows of the same text alone, so neither a null id nor a common one is a partition by itself
+    before = F.lag(F.struct(F.col(text))).over(Window.partitionBy(key, F.xxhash64(text)).orderBy(text))
+    repeated, name = F.coalesce(before == F.struct(F.col(text)), F.lit(False)) & F.col(key).isNotNull(), C.free_name(docs, "_repeated")
+    return kept.withColumn(name, repeated).filter(~F.col(name)).drop(name)

@@ -69,6 +69,9 @@ class Model:
     scale: np.ndarray
     prior: float
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        return np.round(((x.astype(np.float64) - self.mean) / self.scale) @ self.weights + self.bias, 9)
+
     def scores(self, x: np.ndarray) -> np.ndarray:
         z = ((x.astype(np.float64) - self.mean) / self.scale) @ self.weights + self.bias
         return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)  # beyond this, the size of a batch shows
@@ -91,21 +94,38 @@ def _fit(p: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]
     return w[:-1], float(w[-1])
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
-    """The share of positives among the unlabelled: where a classifier of P against U, fitted on one half, is surest, nearly all unlabelled
-    rows of the other half are positives, so the ratio of the two tails bounds the share from above; the least such bound, with a
-    margin for small tails, is the estimate."""
-    w, b = _fit(p[::2], u[::2], 0.5)
-    sp, su = np.sort(p[1::2] @ w + b), np.sort(u[1::2] @ w + b)
-    if not len(sp) or not len(su):
+def estimate_prior(sp: np.ndarray, counts: np.ndarray) -> float:
+    """The share of positives among the unlabelled: where a classifier of P against U is surest, nearly all unlabelled rows are positives, so
+    the ratio of the two tails bounds the share from above; the least such bound, with a margin for small tails, is the estimate.
+
+    `sp` are sorted scores of positives that the classifier was not fitted on; `counts[i]` says how many unlabelled rows have a score that i of them do not exceed.
+    """
+    total = int(counts.sum())
+    if not len(sp) or not total:
         return 0.5
     tail_p = 1 - np.arange(len(sp)) / len(sp)
-    tail_u = 1 - np.searchsorted(su, sp, "left") / len(su)
-    margin = np.sqrt(np.log(40) / (2 * len(su))) + np.sqrt(np.log(40) / (2 * len(sp)))
+    tail_u = np.cumsum(counts[::-1])[::-1][1:] / total
+    margin = np.sqrt(np.log(40) / (2 * total)) + np.sqrt(np.log(40) / (2 * len(sp)))
     best = np.argmin((tail_u + margin) / tail_p)
     return float(np.clip(tail_u[best] / tail_p[best], 0.05, 0.98))
 
 
+def _places(docs: DataFrame, model: Model, sp: np.ndarray, text: str) -> np.ndarray:
+    """How many rows of `docs`, all of them, score as high as 0, 1, ... of the positives: one count per place leaves a task."""
+    def run(batches):
+        counts = np.zeros(len(sp) + 1, np.int64)
+        for batch in batches:
+            counts += np.bincount(np.searchsorted(sp, model.margins(features(batch.column(0))), "right"), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_pydict({"place": pa.array(at, pa.int64()), "n": pa.array(counts[at], pa.int64())})
+
+    found = docs.select(F.col(text).cast("string")).mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # a row per place at most
+    out = np.zeros(len(sp) + 1, np.int64)
+    for r in found:
+        out[r.place] = r.n
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, held_out, prior: float | None = None, rows: int = FIT_ROWS, key: str = "doc_id", text: str = "text") -> Model:
     """Fit on rows for which `held_out` (a condition on `key`) is false: positives of `labels`, and unlabelled documents."""
     free = ~held_out
@@ -129,9 +149,14 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, prior: float | None = None
         return Model(none, 0.0, none, none + 1, 0.5)
     mean, scale = u.mean(0), u.std(0) + 0.02
     p, u = (p - mean) / scale / np.sqrt(p.shape[1]), (u - mean) / scale / np.sqrt(p.shape[1])
-    prior = estimate_prior(p, u) if prior is None else prior
+    shrink = np.sqrt(p.shape[1])
+    if prior is None:  # fitted on half of the positives, placed by the other half and all unlabelled rows
+        w, b = _fit(p[::2], u[::2], 0.5)
+        halves = Model(w / shrink, b, mean, scale, 0.5)
+        sp = np.sort(np.round(p[1::2] @ w + b, 9))
+        prior = estimate_prior(sp, _places(docs.filter(free & F.col(key).isNotNull()), halves, sp, text))
     w, b = _fit(p, u, prior)
-    return Model(w / np.sqrt(p.shape[1]), b, mean, scale, prior)
+    return Model(w / shrink, b, mean, scale, prior)
 
 
 def in_fold(key: str = "doc_id"):

@@ -35,8 +35,8 @@ def held(text, item):
 def case():
     rng = np.random.default_rng(4)
     word = lambda: "w" + str(rng.integers(0, 500))
-    items = [" ".join(word() for _ in range(n)) for n in (14, 20, 20, 33, 59)] + ["one two three", "", None, "la la la la la la la la la"]
-    texts = [None, "", "one two", "One\nTWO  three", "la " * 30, "la " * 9]
+    items = [" ".join(word() for _ in range(n)) for n in (14, 20, 20, 33, 59)] + ["one two three", "", None, "lone", "la la la la la la la la la"]
+    texts = [None, "", "one two", "One\nTWO  three", "la " * 30, "la " * 9, "zz one two three yy qq rr", "one two three one two three", "zz one two yy three qq rr", "a LONE word in a text", "lone", "x lone"]
     for i in range(40):
         body = [word() for _ in range(60)]
         w = words(items[i % 5])
@@ -51,7 +51,7 @@ def case():
 def test_equals_brute_force(spark, documents, case):
     texts, items = case
     bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)], "item_id long, text string, row string")
-    docs = documents(texts).withColumnRenamed("lang", "row").withColumnRenamed("source", "item_id").repartition(3)
+    docs = documents(texts).withColumnRenamed("lang", "_row").withColumnRenamed("source", "item_id").repartition(3)
     got = {(r.doc_id, r.item_id): r.similarity for r in D.report(docs, bench).collect()}
     want = {(d, i): s for d, t in enumerate(texts) for i, item in enumerate(items) if (s := held(t, item)) >= 0.8}
     assert {k: round(v, 6) for k, v in want.items()} == got and len(want) > 15

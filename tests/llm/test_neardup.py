@@ -92,3 +92,14 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(200, 200)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 160)}}
+
+
+def test_clashing_names_and_null_ids_survive(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 7), (2, text, 8), (3, "quite another text with words of its own here", 9), (3, "quite another text with words of its own here", 9)]
+    rows += [(None, f"row {i} without an id has words like these" if i else None, i) for i in range(20)] + [(None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _repeated int")
+    left = neardup.without_copies(docs)
+    assert left.columns == docs.columns
+    got = sorted(map(str, map(tuple, left.collect())))
+    assert got == sorted(map(str, [rows[0], rows[2], *rows[4:]]))

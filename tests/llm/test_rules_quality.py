@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from telewatch.llm import common, quality, rules
@@ -98,6 +99,49 @@ def test_classifier_on_planted_texts(spark, documents):
     assert kept == {i for i, r in got.items() if r.predicted}
 
 
+def test_the_prior_takes_all_unlabelled_rows(spark, documents):
+    """The prior and the places of all rows against loops over every row."""
+    texts, _ = planted(200, 5)
+    rng = np.random.default_rng(1)
+    model = quality.Model(rng.normal(size=quality.BINS + quality.SHARES), 0.1, np.zeros(1), np.ones(1), 0.5)
+    z = model.margins(quality.features(pa.array(texts)))
+    sp = np.sort(z[:31])
+    counts = quality._places(documents(texts).repartition(4), model, sp, "text")
+    assert counts.tolist() == [sum(1 for x in z if sum(y <= x for y in sp) == k) for k in range(len(sp) + 1)]
+    bounds = []
+    for i, s in enumerate(sp):
+        tail_p, tail_u = (len(sp) - i) / len(sp), sum(x >= s for x in z) / len(z)
+        bounds.append(((tail_u + np.sqrt(np.log(40) / (2 * len(z))) + np.sqrt(np.log(40) / (2 * len(sp)))) / tail_p, i, tail_u / tail_p))
+    assert quality.estimate_prior(sp, counts) == pytest.approx(min(max(min(bounds)[2], 0.05), 0.98))
+
+
+def test_scores_equal_plain_sums(spark, documents):
+    """A whole fit, again by plain Adam steps over the same rows, gives the same scores."""
+    texts, truth = planted(90, 6)
+    docs = documents(texts)
+    labels = spark.createDataFrame([(i, y, 0) for i, y in enumerate(truth)], "doc_id long, quality int, toxic int")
+    fold = {r.doc_id for r in docs.filter(quality.in_fold()).collect()}
+    x = quality.features(pa.array(texts)).astype(float)
+    free = [i for i in range(90) if i not in fold]
+    p, u = x[[i for i in free if truth[i]]], x[free]
+    mean, scale = u.mean(0), u.std(0) + 0.02
+    p, u = ((a - mean) / scale / np.sqrt(x.shape[1]) for a in (p, u))
+    w, b, m, v = np.zeros(x.shape[1]), 0.0, np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
+    sigmoid, prior = lambda a: 1 / (1 + np.exp(-a)), 0.6
+    for t in range(1, quality.ROUNDS + 1):
+        sp, su = sigmoid(p @ w + b), sigmoid(u @ w + b)
+        negative = -np.log(1 - su).mean() + prior * np.log(1 - sp).mean()
+        down = np.r_[u.T @ su, su.sum()] / len(u) - prior * np.r_[p.T @ sp, sp.sum()] / len(p)
+        grad = prior * np.r_[p.T @ (sp - 1), (sp - 1).sum()] / len(p) + down if negative >= 0 else -down
+        grad[:-1] += quality.DECAY * w
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
+        step = quality.STEP * (1 - t / (quality.ROUNDS + 1)) * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    want = sigmoid((x - mean) / scale / np.sqrt(x.shape[1]) @ w + b)
+    got = {r.doc_id: r.score for r in quality.score(docs, quality.fit(docs, labels, quality.in_fold(), prior=prior)).collect()}
+    assert all(got[i] == pytest.approx(want[i], abs=2e-6) for i in range(90))
+
+
 def test_held_out_labels_are_not_read(spark, documents):
     texts, truth = planted(300, 2)
     docs = documents(texts)
