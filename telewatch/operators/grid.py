@@ -102,20 +102,26 @@ def fill_from_registry(filled: DataFrame, registry: DataFrame) -> DataFrame:
     }).drop("_lat", "_lon", "_elevation")
 
 
+def _binned_and_end(obs: DataFrame, binned: DataFrame | None, step_seconds: int, explicit_end: str | None, tiebreak: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The bins, and the end date: the last time of all bins is that of all observations, so a stored table of bins saves a read of these."""
+    bins = latest_per_bin(obs, step_seconds, tiebreak=tiebreak) if binned is None else binned
+    return bins, end_date(obs if binned is None or "requested_date" in obs.columns else bins, explicit_end)
+
+
 def complete_utc(obs: DataFrame, registry: DataFrame, step_seconds: int, explicit_end: str | None = None,
-                 tiebreak: Sequence[str] = ()) -> DataFrame:
-    """UTC-day completion: observations outside the grid are dropped, coordinates come from the registry."""
-    binned = latest_per_bin(obs, step_seconds, tiebreak=tiebreak)
-    grid = utc_grid(registry, end_date(obs, explicit_end), step_seconds)
+                 tiebreak: Sequence[str] = (), binned: DataFrame | None = None) -> DataFrame:
+    """UTC-day completion: observations outside the grid are dropped, coordinates come from the registry. `binned` may be `latest_per_bin`, stored."""
+    binned, end = _binned_and_end(obs, binned, step_seconds, explicit_end, tiebreak)
+    grid = utc_grid(registry, end, step_seconds)
     filled = fill_grid(grid, binned.drop("latitude", "longitude", "elevation_m"))
     return filled.join(registry.select("station_id", "latitude", "longitude", "elevation_m"), "station_id", "left")
 
 
 def complete_local(obs: DataFrame, registry: DataFrame, step_seconds: int, explicit_end: str | None = None,
-                   tiebreak: Sequence[str] = ()) -> DataFrame:
-    """Local-day completion that keeps every observation, with the public gap-filled columns."""
-    binned = latest_per_bin(obs, step_seconds, tiebreak=tiebreak)
-    grid = local_grid(registry, binned, end_date(obs, explicit_end), step_seconds)
+                   tiebreak: Sequence[str] = (), binned: DataFrame | None = None) -> DataFrame:
+    """Local-day completion that keeps every observation, with the public gap-filled columns. `binned` may be `latest_per_bin`, stored."""
+    binned, end = _binned_and_end(obs, binned, step_seconds, explicit_end, tiebreak)
+    grid = local_grid(registry, binned, end, step_seconds)
     filled = fill_from_registry(fill_grid(grid, binned), registry)
     return filled.withColumn("date_utc", F.date_format("expected_time_utc", "yyyy-MM-dd"))
 

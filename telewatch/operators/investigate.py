@@ -16,6 +16,7 @@ from telewatch.sources.tables import materialise
 
 ONLINE = [V.COMPLETE, V.PARTIAL]
 PAIR_BLOCKS = 32
+PAIR_BLOCK = 64  # stations whose bitmap words lie side by side
 BITS = 48  # hours per bitmap word
 
 
@@ -106,22 +107,46 @@ def activity_words(states: DataFrame, inactive: Sequence[str] = tuple(V.INACTIVE
         F.coalesce(F.bit_or(F.when(F.col("row_state") == V.TRUE_OUTAGE, bit)), F.lit(0).cast("long")).alias("offline"))
 
 
-def cooccurrence(states: DataFrame, registry: DataFrame, blocks: int = PAIR_BLOCKS) -> DataFrame:
-    """For every pair of stations: common active hours, outage hours of each and of both, and observed / expected."""
-    words = activity_words(states)
-    seen = words.select("station_id").distinct()
-    pairs = station_pairs(registry.join(seen, "station_id", "left_semi"), blocks=blocks)
-    one = words.select(F.col("station_id").alias("station_a"), "word", F.col("active").alias("_a"), F.col("offline").alias("_oa"))
-    two = words.select(F.col("station_id").alias("station_b"), "word", F.col("active").alias("_b"), F.col("offline").alias("_ob"))
-    both = F.col("_a").bitwiseAND(F.col("_b"))
+def block_words(words: DataFrame, stations: DataFrame, blocks: int) -> DataFrame:
+    """One row per block of stations and bitmap word: the stations of the block that say something in it, with their bits."""
+    bits = F.struct("station_id", "latitude", "longitude", "active", "offline")
+    placed = words.join(stations.select("station_id", "latitude", "longitude").where("latitude IS NOT NULL AND longitude IS NOT NULL"), "station_id")
+    return placed.groupBy(F.pmod(F.xxhash64("station_id"), F.lit(blocks)).cast("int").alias("b"), "word").agg(F.collect_list(bits).alias("s"))
+
+
+def cooccurrence(states: DataFrame, registry: DataFrame, block: int = PAIR_BLOCK) -> DataFrame:
+    """For every pair of stations: common active hours, outage hours of each and of both, and observed / expected.
+
+    The words of `block` stations are stored side by side. Two blocks meet in the task that their pair of numbers names, once per word, and the bits of
+    all pairs of their stations are counted and added there: what crosses the network is each block once per other block, and no pair does.
+    """
+    words = materialise(activity_words(states), "activity_words")
+    blocks = max(1, -(-words.select("station_id").distinct().count() // block))
+    packed = materialise(block_words(words, registry, blocks), "block_words")
+    none = F.lit(None).cast(packed.schema["s"].dataType)
+    left = packed.select(F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.lit(blocks - 1))).alias("j"), "word", F.col("s").alias("l"), none.alias("r"))
+    right = packed.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("i"), F.col("b").alias("j"), "word", none.alias("l"), F.col("s").alias("r"))
+    tasks = int(states.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = left.unionByName(right).repartition(tasks, "i", "j").groupBy("i", "j", "word").agg(
+        F.first("l", ignorenulls=True).alias("l"), F.first("r", ignorenulls=True).alias("r"))  # one row of each side
+    pairs = met.select("i", "j", F.explode("l").alias("l"), "r").select("i", "j", "l", F.explode("r").alias("r"))
+    pairs = pairs.where((F.col("i") < F.col("j")) | (F.col("l.station_id") < F.col("r.station_id")))
+    turned = F.col("l.station_id") < F.col("r.station_id")
+    pairs = pairs.select("i", "j", F.when(turned, F.col("l")).otherwise(F.col("r")).alias("a"), F.when(turned, F.col("r")).otherwise(F.col("l")).alias("b"))
+    both = F.col("a.active").bitwiseAND(F.col("b.active"))
 
     def hours(bits: Column) -> Column:
         return F.sum(F.bit_count(bits).cast("long"))
 
-    counts = pairs.join(one, "station_a").join(two, ["station_b", "word"]).groupBy("station_a", "station_b").agg(
-        F.first("distance_km").alias("distance_km"), hours(both).alias("n_both_active_hours"),
-        hours(F.col("_oa").bitwiseAND(both)).alias("n_offline_a"), hours(F.col("_ob").bitwiseAND(both)).alias("n_offline_b"),
-        hours(F.col("_oa").bitwiseAND(F.col("_ob"))).alias("n_both_offline"))
+    def place(side: str) -> list[Column]:
+        return [F.first(f"{side}.{c}").alias(f"_{c}_{side}") for c in ("latitude", "longitude")]
+
+    counts = pairs.groupBy("i", "j", F.col("a.station_id").alias("station_a"), F.col("b.station_id").alias("station_b")).agg(
+        hours(both).alias("n_both_active_hours"), hours(F.col("a.offline").bitwiseAND(both)).alias("n_offline_a"),
+        hours(F.col("b.offline").bitwiseAND(both)).alias("n_offline_b"),
+        hours(F.col("a.offline").bitwiseAND(F.col("b.offline"))).alias("n_both_offline"), *place("a"), *place("b"))
+    distance = haversine_km(F.col("_latitude_a"), F.col("_longitude_a"), F.col("_latitude_b"), F.col("_longitude_b"))
+    counts = counts.select("station_a", "station_b", distance.alias("distance_km"), "n_both_active_hours", "n_offline_a", "n_offline_b", "n_both_offline")
     n, pa, pb = F.col("n_both_active_hours"), F.col("p_offline_a"), F.col("p_offline_b")
     expected = F.col("expected_both_offline_if_independent")
     return counts.where(n > 0).withColumns({

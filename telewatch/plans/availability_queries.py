@@ -9,6 +9,7 @@ from telewatch.operators import states as R
 from telewatch.plans.catalog import cte, query
 from telewatch.plans.network import MIN_ACTIVE, WINDOW_HOURS, Network
 from telewatch.sources import event_log, shape
+from telewatch.sources.tables import materialise
 
 M = V.MEASUREMENTS
 
@@ -26,6 +27,14 @@ def public_registry(spark, folder):
     return event_log.registry(spark, folder).withColumnRenamed("elevation", "elevation_m")
 
 
+def completed(spark, folder, complete, step_seconds):
+    """The log is read once, for its bins; the registry and the end of the network follow from these."""
+    obs = raw_observations(spark, folder)
+    bins = materialise(G.latest_per_bin(obs, step_seconds, tiebreak=["event_id"]), "bins")
+    registry = event_log.registry(spark, folder, bins.withColumnRenamed("expected_time_utc", "hour_utc")).withColumnRenamed("elevation", "elevation_m")
+    return complete(obs, registry, step_seconds, binned=bins)
+
+
 # --- completion -------------------------------------------------------------------------------
 cte("latest_5min", """
 SELECT station_id, bin, count(*) AS n_observations_in_bin, max(ts) AS obs_time_utc, arg_max(value, (ts, event_id)) AS value,
@@ -81,11 +90,11 @@ def utc_grid(spark, folder):
        "station_id expected_time_utc:t data_present:i n_observations_in_bin:i value:f latitude:f longitude:f elevation_m:f",
        "SELECT *, t AS expected_time_utc FROM filled_hourly")
 def complete_utc_grid(spark, folder):
-    return G.complete_utc(raw_observations(spark, folder), public_registry(spark, folder), 3600, tiebreak=["event_id"])
+    return completed(spark, folder, G.complete_utc, 3600)
 
 
 def local_completion(spark, folder):
-    return G.complete_local(raw_observations(spark, folder), public_registry(spark, folder), 300, tiebreak=["event_id"])
+    return completed(spark, folder, G.complete_local, 300)
 
 
 @query("complete_local_grid",

@@ -1,5 +1,7 @@
 """Registered queries over the five-minute confirmation and over dataset validation."""
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from telewatch.functions import vocab as V
@@ -225,18 +227,50 @@ SELECT o.station_id, o.ts, k % 4 - 1 AS qc_status, r.latitude, CASE WHEN event_t
   r.elevation + CASE WHEN k = 7 THEN 1 ELSE 0 END AS elevation_m, date_trunc('hour', ts) AS obs_time_utc, value AS temp_avg_c FROM obs o JOIN reg r USING (station_id)""")
 
 
-def public_registry(spark, folder):
-    return event_log.registry(spark, folder).withColumnRenamed("elevation", "elevation_m")
-
+class Validation:
+    """The tables that the checks read, each made once: the log is read for its hours and for the raw table, and never again."""
 
-def raw_table(spark, folder):
-    """Raw observations with planted defects: odd qc codes, wrong and missing metadata, repeated times."""
-    meta = public_registry(spark, folder).select("station_id", "latitude", "longitude", "elevation_m")
-    return event_log.observations(spark, folder).join(meta, "station_id").select(
-        "station_id", (F.col("k") % 4 - 1).alias("qc_status"), "latitude",
-        F.when(F.col("event_type") != "error", F.col("longitude")).alias("longitude"),
-        (F.col("elevation_m") + F.when(F.col("k") == 7, 1).otherwise(0)).alias("elevation_m"),
-        F.date_trunc("hour", "obs_time_utc").alias("obs_time_utc"), F.col("value").alias("temp_avg_c"))
+    def __init__(self, spark, folder):
+        self.spark, self.folder = spark, folder
+
+    @cached_property
+    def hours(self):
+        """Station and hour of what was sent; first days and the end of the network follow from it."""
+        obs = event_log.observations(self.spark, self.folder)
+        return materialise(obs.select("station_id", F.date_trunc("hour", "obs_time_utc").alias("hour_utc")).distinct(), "log_hours")
+
+    @cached_property
+    def registry(self):
+        made = event_log.registry(self.spark, self.folder, self.hours).withColumnRenamed("elevation", "elevation_m")
+        return materialise(made, "public_registry")
+
+    @cached_property
+    def raw(self):
+        """Raw observations with planted defects: odd qc codes, wrong and missing metadata, repeated times."""
+        meta = self.registry.select("station_id", "latitude", "longitude", "elevation_m")
+        made = event_log.observations(self.spark, self.folder).join(meta, "station_id").select(
+            "station_id", (F.col("k") % 4 - 1).alias("qc_status"), "latitude",
+            F.when(F.col("event_type") != "error", F.col("longitude")).alias("longitude"),
+            (F.col("elevation_m") + F.when(F.col("k") == 7, 1).otherwise(0)).alias("elevation_m"),
+            F.date_trunc("hour", "obs_time_utc").alias("obs_time_utc"), F.col("value").alias("temp_avg_c"))
+        return materialise(made, "raw_observations")
+
+    @cached_property
+    def gap(self):
+        """Hourly completion of the raw table, with its metadata and measurement."""
+        obs = self.raw.withColumn("value_key", F.col("temp_avg_c"))
+        binned = G.latest_per_bin(obs, 3600, tiebreak=["value_key", "qc_status"])
+        end = self.hours.agg(F.to_date(F.max("hour_utc")).alias("end_date"))
+        grid = G.utc_grid(self.registry, end, 3600)
+        meta = self.registry.select("station_id", "latitude", "longitude", "elevation_m")
+        filled = G.fill_grid(grid, binned.drop("latitude", "longitude", "elevation_m", "value_key"))
+        return materialise(filled.join(meta, "station_id", "left"), "gap_table")
+
+    def raw_checks(self):
+        return VA.raw_checks(self.raw, self.registry)
+
+    def gap_checks(self):
+        return VA.gap_checks(self.gap, self.raw, self.registry)
 
 
 def status_sql(items, source):
@@ -252,19 +286,20 @@ def status_sql(items, source):
     ("registry_valid_longitudes", "bool_and(longitude BETWEEN -180 AND 180)", "Longitudes outside [-180, 180]", "count(*) FILTER (longitude NOT BETWEEN -180 AND 180)"),
     ("registry_valid_elevations", "count(*) = count(elevation)", "Invalid elevations", "count(*) - count(elevation)")], "reg"))
 def registry_checks(spark, folder):
-    return VA.registry_checks(public_registry(spark, folder), 26)
+    return VA.registry_checks(Validation(spark, folder).registry, 26)
 
 
 @query("metadata_mismatches", "mismatch_cells:i", """
 SELECT count(*) FILTER (w.latitude IS DISTINCT FROM r.latitude OR w.latitude IS NULL) + count(*) FILTER (w.longitude IS DISTINCT FROM r.longitude OR w.longitude IS NULL)
   + count(*) FILTER (w.elevation_m IS DISTINCT FROM r.elevation OR w.elevation_m IS NULL) AS mismatch_cells FROM raw_table w LEFT JOIN reg r USING (station_id)""")
 def metadata_mismatches(spark, folder):
-    return VA.metadata_mismatches(raw_table(spark, folder), public_registry(spark, folder))
+    v = Validation(spark, folder)
+    return VA.metadata_mismatches(v.raw, v.registry)
 
 
 @query("qc_histogram", "qc_status rows:i", "SELECT qc_status, count(*) AS rows FROM raw_table GROUP BY 1")
 def qc_histogram(spark, folder):
-    return VA.qc_histogram(raw_table(spark, folder))
+    return VA.qc_histogram(Validation(spark, folder).raw)
 
 
 cte("mismatch_count", """SELECT count(*) FILTER (w.latitude IS DISTINCT FROM r.latitude) + count(*) FILTER (w.longitude IS NULL OR w.longitude <> r.longitude)
@@ -283,17 +318,7 @@ RAW_CHECK_SQL = status_sql([
 
 @query("raw_table_checks", CHECK, RAW_CHECK_SQL)
 def raw_table_checks(spark, folder):
-    return VA.raw_checks(raw_table(spark, folder), public_registry(spark, folder))
-
-
-def gap_table(spark, folder):
-    """Hourly completion of the raw table, with its metadata and measurement."""
-    obs = raw_table(spark, folder).withColumn("value_key", F.col("temp_avg_c"))
-    binned = G.latest_per_bin(obs, 3600, tiebreak=["value_key", "qc_status"])
-    grid = G.utc_grid(public_registry(spark, folder), event_log.network_end(spark, folder), 3600)
-    meta = public_registry(spark, folder).select("station_id", "latitude", "longitude", "elevation_m")
-    filled = G.fill_grid(grid, binned.drop("latitude", "longitude", "elevation_m", "value_key"))
-    return filled.join(meta, "station_id", "left")
+    return Validation(spark, folder).raw_checks()
 
 
 cte("gap_table", """
@@ -318,12 +343,25 @@ GAP_CHECK_SQL = status_sql([
 
 @query("gap_table_checks", CHECK, GAP_CHECK_SQL)
 def gap_table_checks(spark, folder):
-    return VA.gap_checks(gap_table(spark, folder), raw_table(spark, folder), public_registry(spark, folder))
+    return Validation(spark, folder).gap_checks()
 
 
-@query("filled_cells_of_missing_rows", "column_name cells:i", "SELECT c AS column_name, 0 AS cells FROM (VALUES ('obs_time_utc'), ('qc_status'), ('temp_avg_c')) v(c)")
+PLANTED = "data_present = 0 AND cast(substring(station_id, 2) AS bigint) % 7 = 2"
+
+
+@query("filled_cells_of_missing_rows", "column_name cells:i", f"""
+SELECT 'obs_time_utc' AS column_name, count(*) FILTER (hour(t) = 1) AS cells FROM gap_table WHERE {PLANTED}
+UNION ALL SELECT 'qc_status', count(*) FILTER (hour(t) IN (1, 2)) FROM gap_table WHERE {PLANTED}
+UNION ALL SELECT 'temp_avg_c', count(*) FILTER (hour(t) > 20) FROM gap_table WHERE {PLANTED}""")
 def filled_cells_of_missing_rows(spark, folder):
-    return VA.filled_cells_of_missing_rows(gap_table(spark, folder)).withColumnRenamed("column", "column_name")
+    """The gap table with planted cells in missing rows; text that only says that nothing is there does not count."""
+    gap = Validation(spark, folder).gap
+    planted, hour = F.expr(PLANTED), F.hour("expected_time_utc")
+    damaged = gap.withColumns({
+        "obs_time_utc": F.when(planted & (hour == 1), F.col("expected_time_utc")).otherwise(F.col("obs_time_utc")).cast("string"),
+        "qc_status": F.when(planted & hour.isin(1, 2), "0").when(planted & (hour == 3), "n/a").otherwise(F.col("qc_status").cast("string")),
+        "temp_avg_c": F.when(planted & (hour > 20), 1.0).otherwise(F.col("temp_avg_c"))})
+    return VA.filled_cells_of_missing_rows(damaged).withColumnRenamed("column", "column_name")
 
 
 @query("irregular_steps", "station_id bad_steps:i", """
@@ -335,7 +373,7 @@ def irregular_steps(spark, folder):
 
 @query("station_row_counts", "station_id rows:i", "SELECT station_id, count(*) AS rows FROM raw_table GROUP BY 1")
 def station_row_counts(spark, folder):
-    return VA.station_counts(raw_table(spark, folder))
+    return VA.station_counts(Validation(spark, folder).raw)
 
 
 @query("order_key_checks", "duplicates:i", "SELECT count(*) - count(DISTINCT (o_custkey, o_orderstatus)) AS duplicates FROM orders")
@@ -343,25 +381,40 @@ def order_key_checks(spark, folder):
     return VA.duplicate_keys(event_log.load(spark, folder, "orders", "o_custkey", "o_orderstatus"), ["o_custkey", "o_orderstatus"])
 
 
+cte("numbered_hours", "SELECT *, cast(substring(station_id, 2) AS bigint) % 6 AS no, hour(hour_utc) AS hr FROM hours")
+
+
 @query("canonical_table_checks", CHECK, status_sql([
-    ("canonical_shape", "true", "Rows", "count(*)"), ("canonical_unique_station_hour", "true", "Duplicate station hours", "0"),
-    ("canonical_station_count", "true", "Stations", "count(DISTINCT station_id)"), ("canonical_hour_is_utc", "true", "Hours not in UTC", "0"),
-    ("canonical_utc_columns_agree", "true", "Rows with differing UTC columns", "0"), ("canonical_presence_is_binary", "true", "Invalid data_present rows", "0"),
-    ("canonical_local_time_on_live_rows", "sum(data_present) = 0", "Live rows without local time", "sum(data_present)")], "hours"))
+    ("canonical_shape", "true", "Rows", "count(*) + count(*) FILTER (no = 1 AND hr = 3)"),
+    ("canonical_unique_station_hour", "count(*) FILTER (no = 1 AND hr = 3) = 0", "Duplicate station hours", "count(*) FILTER (no = 1 AND hr = 3)"),
+    ("canonical_station_count", "count(DISTINCT station_id) = 26", "Stations", "count(DISTINCT station_id)"),
+    ("canonical_hour_is_utc", "count(*) FILTER (no = 2 AND hr = 4) = 0", "Hours not in UTC", "count(*) FILTER (no = 2 AND hr = 4)"),
+    ("canonical_utc_columns_agree", "count(*) FILTER (no = 2 AND hr = 4 OR no = 3 AND hr = 5) = 0", "Rows with differing UTC columns", "count(*) FILTER (no = 2 AND hr = 4 OR no = 3 AND hr = 5)"),
+    ("canonical_presence_is_binary", "count(*) FILTER (no = 4 AND hr = 6) = 0", "Invalid data_present rows", "count(*) FILTER (no = 4 AND hr = 6)"),
+    ("canonical_local_time_on_live_rows", "count(*) FILTER (data_present = 1 AND no = 5) = 0", "Live rows without local time", "count(*) FILTER (data_present = 1 AND no = 5)")],
+    "numbered_hours"))
 def canonical_table_checks(spark, folder):
-    hours = event_log.station_hours(spark, folder)
-    text = F.concat(F.date_format("hour_utc", "yyyy-MM-dd HH:mm:ss"), F.lit("+00:00"))
+    """The station-hour table with its text timestamps and planted defects, one kind in every sixth station."""
+    no, hour = F.expr("cast(substring(station_id, 2) AS bigint) % 6"), F.hour("hour_utc")
+    hours = event_log.station_hours(spark, folder).withColumns({"_no": no, "_hr": hour})
+    hours = hours.unionByName(hours.where("_no = 1 AND _hr = 3"))
+    plain = F.date_format("hour_utc", "yyyy-MM-dd HH:mm:ss")
+    text = F.concat(plain, F.lit("+00:00"))
     none = F.lit(None).cast("string")
-    made = {"latitude": none, "longitude": none, "qc_status": none, "epoch": none, "elevation": none, "timestamp_local": none,
-            "timestamp_utc": F.date_format("hour_utc", "yyyy-MM-dd HH:mm:ss"), "timestamp_utc_dt": text}
-    return VA.canonical_checks(hours.withColumns(made).withColumn("hour_utc", text).select(*V.CANONICAL_COLUMNS))
+    made = {"latitude": none, "longitude": none, "qc_status": none, "epoch": none, "elevation": none,
+            "timestamp_local": F.when((F.col("_no") != 5) | (F.col("data_present") == 0), plain),
+            "timestamp_utc": F.when(F.expr("_no = 3 AND _hr = 5"), "2000-01-01 00:00:00").otherwise(plain), "timestamp_utc_dt": text,
+            "data_present": F.when(F.expr("_no = 4 AND _hr = 6"), 2).otherwise(F.col("data_present"))}
+    rows = hours.withColumns(made).withColumn("hour_utc", F.when(F.expr("_no = 2 AND _hr = 4"), plain).otherwise(text))
+    return VA.canonical_checks(rows.select(*V.CANONICAL_COLUMNS), expected_stations=26)
 
 
 @query("validation_verdict", "checks:i failed:i status", f"""
 SELECT count(*) AS checks, count(*) FILTER (status = 'FAIL') AS failed, CASE WHEN bool_and(status = 'PASS') THEN 'PASS' ELSE 'FAIL' END AS status
 FROM ({RAW_CHECK_SQL} UNION ALL {GAP_CHECK_SQL})""")
 def validation_verdict(spark, folder):
-    return VA.verdict(raw_table_checks(spark, folder).unionByName(gap_table_checks(spark, folder)))
+    v = Validation(spark, folder)
+    return VA.verdict(v.raw_checks().unionByName(v.gap_checks()))
 
 
 @query("failed_checks", "name message", f"SELECT name, message FROM ({RAW_CHECK_SQL}) WHERE status = 'FAIL'")

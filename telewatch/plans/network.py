@@ -80,6 +80,6 @@ class Network:
 
     @cached_property
     def reliability(self) -> DataFrame:
-        freeze = F.lit("2024-01-31 00:00:00").cast("timestamp")
+        freeze = self.bins.agg(F.date_add(F.to_date(F.max("hour_utc")), 1).cast("timestamp").alias("freeze")).scalar()  # the end of the last day
         audit = self.audit  # stores the states, which the events then start from
         return A.station_reliability(self.registry, audit, self.events, freeze)

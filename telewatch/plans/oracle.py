@@ -95,7 +95,7 @@ SELECT r.station_id, r.city, CASE WHEN r.longitude < 16 THEN 'northwest' ELSE 's
   coalesce(n, 0) AS total_event_count, coalesce(n_local, 0) AS local_event_count,
   coalesce(n_midnight, 0) AS network_midnight_event_count, coalesce(n_other, 0) AS network_other_event_count,
   med AS median_event_duration_h, longest AS max_event_duration_h, last_start AS last_outage_start_utc,
-  CASE WHEN last_end IS NOT NULL THEN greatest(epoch(TIMESTAMP '2024-01-31 00:00:00' - last_end) / 86400.0, 0.0) END AS days_since_last_outage_at_freeze
+  CASE WHEN last_end IS NOT NULL THEN greatest(epoch((SELECT cast(cast(max(ts) AS date) AS timestamp) + INTERVAL 1 DAY FROM obs) - last_end) / 86400.0, 0.0) END AS days_since_last_outage_at_freeze
 FROM reg r LEFT JOIN audit a USING (station_id) LEFT JOIN (SELECT station_id, count(*) AS n,
   count(*) FILTER (outage_class = 'local') AS n_local, count(*) FILTER (outage_class = 'network_midnight') AS n_midnight,
   count(*) FILTER (outage_class = 'network_other') AS n_other, median(duration_hours) AS med, max(duration_hours) AS longest,

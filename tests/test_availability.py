@@ -168,7 +168,10 @@ def test_pairs_and_cooccurrence_against_a_slow_model(spark):
     text = {f"S{i}": "p" + "".join(rng.choice("pa") for _ in range(120)) + "p" + "a" * (i * 3) for i in range(5)}
     states = R.classify(hours(spark, text), MEASURES, warmup_days=0)
     reg = spark.createDataFrame([(s, 10.0 + i, 20.0) for i, s in enumerate(text)], "station_id string, latitude double, longitude double")
-    rows = Q.cooccurrence(states, reg, blocks=3).collect()
+    pairs = Q.cooccurrence(states, reg, block=2)
+    shown = pairs._jdf.queryExecution().executedPlan().toString()
+    assert shown.count("Exchange hashpartitioning") == 1 and "Join" not in shown  # blocks are dealt out once, and pairs never
+    rows = pairs.collect()
     assert len(rows) == 10 and len({(r.station_a, r.station_b) for r in rows}) == 10
     st = {s: states_of(states, s) for s in text}
     for r in rows:

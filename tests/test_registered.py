@@ -77,6 +77,15 @@ def test_the_log_is_read_once(spark):
         assert "events.parquet" not in plan(df)
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["raw_table_checks", "gap_table_checks", "validation_verdict", "complete_utc_grid", "complete_local_grid"])
+def test_checks_and_grids_read_the_log_at_most_twice(spark, name, monkeypatch):
+    reads, load = [], event_log.load
+    monkeypatch.setattr(event_log, "load", lambda spark, folder, table, *c: (reads.append(table), load(spark, folder, table, *c))[1])
+    text = plan(entry.queries()[name](spark, SMALL))
+    assert reads.count("events") <= 2 and "events.parquet" not in text  # each read ends in a stored table
+
+
 @needs_tables
 def test_detectors_share_one_exchange(spark):
     hours = event_log.station_hours(spark, SMALL)
