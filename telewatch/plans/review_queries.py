@@ -20,6 +20,7 @@ cte("features_raw", "SELECT station_id, start_hour, end_hour, " + ", ".join(
     + ["cast(n_sensor_groups AS double) AS n_sensor_groups", "cast(detector_concordance AS double) AS detector_concordance",
        "ln(1 + duration_hours) AS log_duration", "coalesce(max_abs_zscore, 0) AS max_abs_zscore", "coalesce(max_iforest_score, 0) AS max_iforest_score",
        "coalesce(min_rolling_variance, (SELECT coalesce(max(min_rolling_variance), 0) FROM episodes)) AS min_rolling_variance"]) + " FROM episodes")
+SUSTAINED = 4  # hours; the log's 30 days have no episode of the default 24
 # stand-in labels, so that everything behind the clustering can be checked in SQL
 cte("labelled", """
 SELECT *, cast((n_events + duration_hours) % 4 AS int) - 1 AS cluster_label, 1.0 / (1 + duration_hours) AS cluster_probability FROM episodes""")
@@ -58,11 +59,11 @@ SELECT *, CASE WHEN up <= 5 THEN 'representative' ELSE 'boundary' END AS role, 0
     row_number() OVER (PARTITION BY cluster_label ORDER BY cluster_probability DESC, start_hour, station_id) AS up,
     row_number() OVER (PARTITION BY cluster_label ORDER BY cluster_probability, start_hour DESC, station_id DESC) AS down
   FROM labelled WHERE cluster_label >= 0) WHERE up <= 5 OR down <= 2""")
-cte("picked_noise", """
+cte("picked_noise", f"""
 SELECT *, 0 AS a, 0 AS b, '' AS c FROM (
-  SELECT *, CASE WHEN duration_hours >= 24 THEN 'noise_sustained' ELSE 'noise_check' END AS role, CASE WHEN duration_hours >= 24 THEN 1 ELSE 2 END AS sec,
-    CASE WHEN duration_hours >= 24 THEN -duration_hours ELSE coalesce(-max_abs_zscore, 1e300) END AS d, count(*) OVER () AS cluster_size,
-    row_number() OVER (PARTITION BY duration_hours >= 24 ORDER BY max_abs_zscore DESC NULLS LAST, start_hour, station_id) AS r
+  SELECT *, CASE WHEN duration_hours >= {SUSTAINED} THEN 'noise_sustained' ELSE 'noise_check' END AS role, CASE WHEN duration_hours >= {SUSTAINED} THEN 1 ELSE 2 END AS sec,
+    CASE WHEN duration_hours >= {SUSTAINED} THEN -duration_hours ELSE coalesce(-max_abs_zscore, 1e300) END AS d, count(*) OVER () AS cluster_size,
+    row_number() OVER (PARTITION BY duration_hours >= {SUSTAINED} ORDER BY max_abs_zscore DESC NULLS LAST, start_hour, station_id) AS r
   FROM labelled WHERE cluster_label = -1) WHERE sec = 1 OR r <= 20""")
 cte("picked_limits", """
 SELECT l.*, n.cluster_size, 'physical_limit' AS role, 3 AS sec, f.a, f.b, f.c, -cast(duration_hours AS double) AS d FROM labelled l
@@ -85,7 +86,7 @@ QUEUE = ("review_id:i cluster_label:i cluster_size:i role needs_5min_confirmatio
 
 @query("review_queue", QUEUE, "SELECT * FROM queue")
 def review_queue(spark, folder):
-    return RQ.review_queue(labelled(spark, folder))
+    return RQ.review_queue(labelled(spark, folder), sustained_hours=SUSTAINED)
 
 
 @query("cluster_picks", "cluster_label:i role station_id start_hour:t cluster_size:i", "SELECT * FROM picked_clusters")
@@ -95,13 +96,13 @@ def cluster_picks(spark, folder):
 
 @query("noise_picks", "role station_id start_hour:t duration_hours:i cluster_size:i", "SELECT * FROM picked_noise")
 def noise_picks(spark, folder):
-    return RQ.noise_picks(labelled(spark, folder), 20, V.SUSTAINED_NOISE_HOURS)
+    return RQ.noise_picks(labelled(spark, folder), 20, SUSTAINED)
 
 
 @query("limit_picks", "cluster_label:i role station_id start_hour:t duration_hours:i cluster_size:i", "SELECT * FROM picked_limits")
 def limit_picks(spark, folder):
     clusters = labelled(spark, folder)
-    chosen = RQ.cluster_picks(clusters, 5, 2).unionByName(RQ.noise_picks(clusters, 20, V.SUSTAINED_NOISE_HOURS))
+    chosen = RQ.cluster_picks(clusters, 5, 2).unionByName(RQ.noise_picks(clusters, 20, SUSTAINED))
     return RQ.limit_picks(clusters, chosen)
 
 
@@ -109,7 +110,7 @@ def limit_picks(spark, folder):
 SELECT * FROM queue WHERE role = 'representative' AND cluster_label IN (SELECT cluster_label FROM labelled WHERE station_id = '{STATION}' AND cluster_label >= 0)""")
 def station_representatives(spark, folder):
     clusters = labelled(spark, folder)
-    return RQ.representatives_for_station(clusters, RQ.review_queue(clusters), STATION)
+    return RQ.representatives_for_station(clusters, RQ.review_queue(clusters, sustained_hours=SUSTAINED), STATION)
 
 
 @query("queue_by_role", "role rows:i to_confirm:i", f"""
