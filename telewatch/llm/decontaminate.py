@@ -87,10 +87,10 @@ def _windows(docs: DataFrame, items: DataFrame, key: str, text: str) -> DataFram
     shingles = _with_shingles(source, "row", "doc_id")
     if short:
         hashed = shingles.select("row", "doc_id", "w", "s", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
-        shingles = hashed.select("row", "doc_id", "w", F.explode(F.concat(at, *[runs(n) for n in short])).alias("x"))
+        each = hashed.select("row", "doc_id", "w", F.explode(F.concat(at, *[runs(n) for n in short])).alias("x"))
+        shingles = each.select("row", "doc_id", "w", "x.place", "x.shingle")
     else:
-        shingles = shingles.select("row", "doc_id", "w", F.explode(at).alias("x"))
-    shingles = shingles.select("row", "doc_id", "w", "x.place", "x.shingle")
+        shingles = shingles.select("row", "doc_id", "w", F.posexplode_outer("s").alias("place", "shingle"))
     wanted = items.select(F.size("w").alias("size"), F.posexplode("s").alias("offset", "shingle")).distinct()
     blocks = max(1, -(-wanted.count() // BROADCAST_ROWS))
     found = None
