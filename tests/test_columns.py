@@ -93,3 +93,9 @@ def test_no_key_is_ordered_in_one_task(spark):
     text = out._jdf.queryExecution().optimizedPlan().toString()
     assert "percentile" not in text and "collect" not in text and before == spark.conf.get("spark.sql.shuffle.partitions")
     assert out.first().q == df.select(F.percentile("v", F.lit(0.5))).first()[0]
+
+
+def test_a_smooth_column_needs_no_sketch(spark, monkeypatch):
+    df = spark.range(50_000).select(F.lit("k").alias("k"), F.randn(7).alias("v"))
+    monkeypatch.setattr(F, "percentile_approx", None)  # counted in one pass
+    assert pooled_quantile(df, ["k"], "v", 0.9, "q").first().q == df.select(F.percentile("v", F.lit(0.9))).first()[0]
