@@ -85,3 +85,14 @@ def test_no_rows(spark, documents):
     assert [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in lm.score(stored, model).collect()] == [(None, 3, 3, 6)] * 2
     held = lm.train(documents(["a b"], 0), common.fold_of("doc_id", 1) == 0)
     assert [(r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score(held[1], held[0]).collect()] == [(0, 0, 0.0, 0.0)]
+
+
+def test_the_query_counts_three_words(spark, tmp_path):
+    from telewatch.llm import queries
+    rows = [(i, "a c d f" if i % 2 else "x c y f") for i in range(200)]  # what follows c depends on the word before it
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.QUERIES["op8_language_model"](spark, str(tmp_path)).collect()}
+    fold = {r.doc_id: r.held for r in docs.select("doc_id", (common.fold_of("doc_id", 5) == 1).alias("held")).collect()}
+    for (i, _), want in zip(rows, direct([t for _, t in rows], [fold[i] for i, _ in rows], 3)):
+        assert want[-1] - want[0] / lm.STEPS - 1e-9 <= got[i] <= want[-1] + 1e-9
