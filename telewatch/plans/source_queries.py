@@ -77,9 +77,10 @@ def station_file_checks(spark, folder):
     hole = inner.groupBy("station_id").agg(F.min("expected_time_utc").alias("hole"))
     holed = gap.join(hole, "station_id", "left").where(F.col("hole").isNull() | (F.col("expected_time_utc") != F.col("hole"))).drop("hole")
     station_files.write_station_csv(holed, f"{root}/gap", "expected_time_utc")
-    raw_files = station_files.read_station_csv(spark, f"{root}/exact", EXACT)
+    # files are opened once; the checks read what was found in them several times
+    raw_files = tables.materialise(station_files.read_station_csv(spark, f"{root}/exact", EXACT), "exact_files")
     moved = raw_files.withColumn("station_id", F.when((number % 5 == 2) & (hour == 3), "S999999").otherwise(F.col("station_id")))
-    gap_files = station_files.read_station_csv(spark, f"{root}/gap", GAP)
+    gap_files = tables.materialise(station_files.read_station_csv(spark, f"{root}/gap", GAP), "gap_files")
     n = live.count()  # the expected number of stations is a parameter of the check
     return VA.station_file_checks(moved, gap_files, raw, gap, n, step_seconds=3600)
 

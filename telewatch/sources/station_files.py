@@ -19,8 +19,8 @@ KEY = "file_station_id"
 
 
 def write_station_csv(df: DataFrame, root: str, time: str, mode: str = "errorifexists") -> None:
-    """CSV files below `root/file_station_id=.../`; a large station is written by many tasks, a day or more each."""
-    keyed = df.withColumn(KEY, F.col("station_id")).repartition(KEY, F.to_date(time))
+    """CSV files below `root/file_station_id=.../`; a long station is written by many tasks, a month or more each."""
+    keyed = df.withColumn(KEY, F.col("station_id")).repartition(KEY, F.trunc(time, "month"))
     keyed.write.partitionBy(KEY).mode(mode).csv(root, header=True, timestampFormat="yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 

@@ -124,3 +124,17 @@ def test_headers_are_checked_by_task(spark, tmp_path):
     assert got == {"header_columns_match": 1, "header_no_old_names": 1, "header_snake_case": 1, "header_no_redundant_metadata": 0}
     back = station_files.read_station_csv(spark, root, df.schema).where("station_id = 'A'")
     assert sorted((r.station_id, r.t, r.v, r.file_station_id) for r in back.collect()) == [("A", dt.datetime(2024, 1, d), 1.0, "A") for d in (1, 2)]
+
+
+def test_a_station_has_a_file_a_month(spark, tmp_path):
+    days = [dt.datetime(2024, m, d, 5) for m in (1, 2) for d in range(1, 29)]
+    df = spark.createDataFrame([("A", t, 1.0) for t in days], "station_id string, expected_time_utc timestamp, v double")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")  # large tables are not merged into few tasks
+    try:
+        station_files.write_station_csv(df, str(tmp_path / "csv"), "expected_time_utc")
+        tables.write_by_station(df, str(tmp_path / "parquet"))
+    finally:
+        spark.conf.unset(merging)
+    assert len(list((tmp_path / "csv").rglob("part-*"))) <= 2 and len(list((tmp_path / "parquet").rglob("part-*"))) <= 2
+    assert station_files.read_station_csv(spark, str(tmp_path / "csv"), df.schema).count() == spark.read.parquet(str(tmp_path / "parquet")).count() == 56
