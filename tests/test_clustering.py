@@ -125,3 +125,18 @@ def test_queue_order_and_roles(spark):
     assert R.representatives_for_station(df, queue, "A").count() == 5
     only_clusters = R.review_queue(df.where("cluster_label = 3"))
     assert R.queue_by_role(only_clusters).where("role = 'noise_check'").first().rows == 0
+
+
+def test_one_pass_over_pairs_gives_the_trees_of_all_samples(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(17, 3))
+    points = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, vector array<double>")
+    pairs = C._block_pairs(C._blocks(points, 5, core=False), 4)
+    assert sorted((r.i, r.j, r.ids[0], r.ids_of[0]) for r in pairs.collect()) == [(i, j, 5 * i, 5 * j) for i in range(4) for j in range(i, 4)]
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()  # no table of blocks goes through the driver
+    both = C.spanning_trees(points, 17, [1, 4], block=5).toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for ms in (1, 4):
+        core = np.sort(d, axis=1)[:, ms - 1]
+        _, _, least = C._prim(np.maximum(np.maximum(d, core[:, None]), core))
+        assert C._forest(both[both["min_samples"] == ms])["w"].sum() == pytest.approx(least.sum())
