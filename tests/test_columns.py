@@ -99,3 +99,14 @@ def test_a_smooth_column_needs_no_sketch(spark, monkeypatch):
     df = spark.range(50_000).select(F.lit("k").alias("k"), F.randn(7).alias("v"))
     monkeypatch.setattr(F, "percentile_approx", None)  # counted in one pass
     assert pooled_quantile(df, ["k"], "v", 0.9, "q").first().q == df.select(F.percentile("v", F.lit(0.9))).first()[0]
+
+
+def test_quantile_rounds_count_by_range_not_by_key(spark, monkeypatch):
+    from telewatch.functions import quantiles as Q
+    plans, store = [], Q.materialise
+    monkeypatch.setattr(Q, "materialise", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or store(df, name))
+    df = spark.range(500).select((F.col("id") % 2).cast("string").alias("k"), F.col("id").cast("double").alias("v"))
+    got = {r.k: r.q for r in Q.pooled_quantiles(df, ["k"], {"q": (F.col("v"), 0.5)}, bound=20).collect()}
+    assert got == {"0": 249.0, "1": 250.0}
+    assert len(plans) > 1 and all("Generate" not in p for p in plans)  # one quantile needs no explode
+    assert any("Aggregate [_r#" in p for p in plans[1:])
