@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 WIDEST = 56  # low bits of a value
+STEPS = 4  # values of a bucket that are looked at one after the other
 
 
 def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
@@ -57,15 +58,31 @@ class EliasFano:
             return out
         bit = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) + 1, 0)
         j, want, open_ = bit - h, x & self.mask, np.arange(len(x))
-        while len(open_):  # the successor of x is in its bucket, of which the list has one value in the mean
+        for _ in range(STEPS):  # the successor of x is in its bucket, of which the list has one value in the mean
             inside = (self.upper[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1) == 1
             inside &= j < self.n
             bit, j, want, open_ = bit[inside], j[inside], want[inside], open_[inside]
-            pos = j * self.low
-            word, shift = pos >> 6, (pos & 63).astype(np.uint64)
-            got = (self.packed[word] >> shift | self.packed[word + 1] << np.uint64(1) << (np.uint64(63) - shift)) & self.mask
+            got = self._low(j)
             hit = got == want
             out[open_[hit]] = j[hit]
             on = got < want
             bit, j, want, open_ = bit[on] + 1, j[on] + 1, want[on], open_[on]
-        return out
+            if not len(open_):
+                return out
+        upto = np.minimum(self._zero(h[open_]) - h[open_], self.n)  # where the bucket ends; a crowded one is halved
+        while True:
+            on = j < upto
+            j, upto, want, open_ = j[on], upto[on], want[on], open_[on]
+            if not len(open_):
+                return out
+            middle = (j + upto) >> 1
+            got = self._low(middle)
+            hit, less = got == want, got < want
+            out[open_[hit]] = middle[hit]
+            j, upto = np.where(less, middle + 1, j), np.where(less, upto, np.where(hit, j, middle))
+
+    def _low(self, j: np.ndarray) -> np.ndarray:
+        """The low bits of the values at the places `j`."""
+        pos = j * self.low
+        word, shift = pos >> 6, (pos & 63).astype(np.uint64)
+        return (self.packed[word] >> shift | self.packed[word + 1] << np.uint64(1) << (np.uint64(63) - shift)) & self.mask

@@ -4,7 +4,7 @@ Level 1 holds the words of the training texts, by 64-bit hash, with exact counts
 words in level k - 1, place of the last word in level 1). A level is cut into shards by hash, and a hot context is cut by its next word too, so
 no shard grows with one word. In a shard, contexts are a monotone list, the starts of their followers another, and the followers a third,
 in which a word is stored relative to its context: base of the context plus word. A follower is found by the successor of that
-number. Each k-gram has a byte, the logarithm of its smoothed relative count rounded down, and (below the highest level) its count. Files lie in the shared
+number; where a frequent context fills a bucket of the list, by halving the bucket. Each k-gram has a byte, the logarithm of its smoothed relative count rounded down, and (below the highest level) its count. Files lie in the shared
 folder and are memory-mapped by the tasks that score.
 
 Smoothing: p(w | c) = (n(c, w) + mu * p(w | shorter c)) / (n(c) + mu), from level 1 up, whose probability is
@@ -137,6 +137,7 @@ class Grams(Level):
         back = np.empty(len(c), np.int64)
         back[order] = np.cumsum(new) - 1
         c, w = c[new], w[new]
+        del order, new  # a lot is large
         found, near, times = np.full(len(c), -1, np.int64), np.zeros(len(c)), np.zeros(len(c), np.int64)
         for k, at in self._by_shard(gram_shard(c, w, self.shards)):
             s = self.shard(k)
@@ -401,7 +402,7 @@ def score(stored: DataFrame, model: Model) -> DataFrame:
         for batch in batches:  # many texts at once, as every shard is asked for each lot of them
             held.append(batch)
             size += batch.nbytes
-            if size > 4 * TOKENS_AT_ONCE:
+            if size > 2 * TOKENS_AT_ONCE:  # half as many places of four bytes; a task needs some 200 MB for them
                 yield pa.RecordBatch.from_pydict(scored(_joined(held)))
                 held, size = [], 0
         if sum(b.num_rows for b in held):

@@ -24,6 +24,24 @@ def test_elias_fano_finds_what_is_there():
         assert (e.find(asked) == want).all()
 
 
+def test_crowded_buckets_are_halved():
+    class Counted:
+        def __init__(self, a):
+            self.a, self.n = a, 0
+
+        def __getitem__(self, at):
+            self.n += 1
+            return self.a[at]
+
+    values = np.concatenate([np.arange(3000, dtype=np.uint64) * np.uint64(3), (np.uint64(1) << np.uint64(36)) + np.arange(50, dtype=np.uint64)])
+    e = EliasFano(encode(values, 1 << 40))  # two buckets hold all values, as a frequent context does
+    e.packed = Counted(e.packed)
+    asked = np.concatenate([values, values + np.uint64(1), np.array([9000, (1 << 40) - 1], np.uint64)])
+    at = np.minimum(np.searchsorted(values, asked), len(values) - 1)
+    assert (e.find(asked) == np.where(values[at] == asked, at, -1)).all()
+    assert e.packed.n < 100  # one look a value made 6,000
+
+
 def toks(t):
     return WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t or "")) + ["</s>"]
 
