@@ -6,8 +6,11 @@ symbol of a chunk out in turn (ERRORS = 1), so such a pair always shares a key.
 above what a similarity of 0.8 leads to (12.8).
 
 Equal shingle sets are one class from the start, and only one member of each class, its smallest id, is compared. Inside a
-bucket (the classes that share a key) no table of all pairs is made: every class is compared with the bucket's leader, the member that
-shares most with others. Buckets that then hold several components are compared in whole, in groups of buckets that share members: a group is
+bucket (the classes that share a key) every class is compared with the bucket's leader, the member that shares most with others. Of
+buckets of at most SMALL classes, all pairs that are then in different components are compared too. They are kept out of the groups below, as
+nearly all of them are unlike texts that met by chance: these grow faster than the input and would tie most of a large corpus into one group.
+No text is fetched for pairs of which more than FAR symbols differ (at a similarity of 0.8, fewer than one pair in 10 ** 13).
+Larger buckets that then hold several components are compared in whole, in groups of buckets that share members: a group is
 cut into blocks of about BLOCK classes or BLOCK_SHINGLES shingles, two blocks at a time meet in a task, and only links between different components leave it. So
 components are those of all links between classes that share a key. This last step takes time as the square of such a group over BLOCK.
 
@@ -30,6 +33,7 @@ from telewatch.sources.tables import materialise
 CHUNKS, WIDTH, ERRORS = 16, 4, 1
 SYMBOLS = CHUNKS * WIDTH
 GUARANTEED = CHUNKS * (ERRORS + 1) - 1
+FAR, SMALL = 40, 8
 BLOCK, BLOCK_SHINGLES, COLUMNS = 2048, 400_000, 4096  # classes and shingles of a block, columns of a product
 _ODD = C.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
 _ADD = C.mix(np.arange(1, SYMBOLS + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
@@ -99,6 +103,24 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return C.map_batches(classes.select("rep", "sig"), run, "rep long, key long")
 
 
+def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, leader) of which at most FAR symbols differ."""
+    def run(batch: pa.RecordBatch):
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for k in (2, 3))
+        return batch.filter(pa.array((x != y).sum(axis=1) <= FAR)).select(["a", "leader"])
+
+    side = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
+    both = pairs.join(side("a"), "a").join(side("leader"), "leader").select("a", "leader", "sig_a", "sig_leader")
+    return C.map_batches(both, run, "a long, leader long")
+
+
+def _pairs_in_small(members: DataFrame) -> DataFrame:
+    """All pairs of classes that share a bucket of at most SMALL classes."""
+    small = members.where(F.col("n") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("rep")).alias("r"))
+    pairs = F.expr("flatten(transform(r, (x, i) -> transform(slice(r, i + 2, size(r)), y -> struct(x AS a, y AS leader))))")
+    return small.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+
+
 def _pairs_of(batch: pa.RecordBatch, size: int, percent: int) -> np.ndarray:
     """Which rows (a, leader, text of a, text of the leader) are linked on their whole sets."""
     leaders = batch.column(1).to_numpy()
@@ -194,14 +216,22 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     heaviest = F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("m")
     leaders = materialise(members.join(weight, "rep").groupBy("key").agg(heaviest).select("key", (-F.col("m.minus")).alias("leader")), "leaders")
-    pairs = materialise(members.join(leaders, "key").filter("rep <> leader").select(F.col("rep").alias("a"), "leader").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("leader").alias("doc_id"))).distinct()
+    led = members.join(leaders, "key").filter("rep <> leader").select(F.col("rep").alias("a"), "leader").distinct()
+    pairs = materialise(_near(led, classes), "pairs")
+    others = materialise(_near(_pairs_in_small(members), classes), "pairs")
+    large = members.where(F.col("n") > SMALL).select("key", "rep")
+    ids = pairs.unionByName(others).select(F.explode(F.array("a", "leader")).alias("doc_id")).unionByName(large.select(F.col("rep").alias("doc_id"))).distinct()
     texts = materialise(whole.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")  # the ids have no bound
-    links = _linked_to_leaders(pairs, texts, size, percent).select("a", F.col("leader").alias("b"))
+    links = _linked_to_leaders(pairs, texts, size, percent)
+    found = components(links, "a", "leader")
+    label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+    apart = F.coalesce("of_a", "a") != F.coalesce("of_leader", "leader")
+    rest = others.join(label("a"), "a", "left").join(label("leader"), "leader", "left").where(apart).select("a", "leader")
+    links = links.unionByName(_linked_to_leaders(materialise(rest, "pairs"), texts, size, percent)).select("a", F.col("leader").alias("b"))
     found = components(links).withColumnRenamed("node", "rep")
 
-    # Buckets that hold several components: their members, in groups of buckets that share members.
-    parted = materialise(members.select("key", "rep").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "parted")
+    # Larger buckets that hold several components: their members, in groups of buckets that share members.
+    parted = materialise(large.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "parted")
     several = parted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     left = materialise(parted.join(materialise(several, "open"), "key"), "left")
     groups = components(left.join(leaders, "key").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())

@@ -103,3 +103,13 @@ def test_clashing_names_and_null_ids_survive(spark):
     assert left.columns == docs.columns
     got = sorted(map(str, map(tuple, left.collect())))
     assert got == sorted(map(str, [rows[0], rows[2], *rows[4:]]))
+
+
+def test_chance_meetings_form_no_group(documents, monkeypatch):
+    words = [[f"w{i}x{j}" for j in range(40)] for i in range(41)]
+    texts = [" ".join(words[i] + words[i + 1]) for i in range(40)] + [" ".join(words[0] + words[1][:-1]), " ".join(words[40])]  # a chain of like texts
+    grouped, whole = [], neardup._linked_in_groups
+    monkeypatch.setattr(neardup, "_linked_in_groups", lambda members, *rest: grouped.append(members.count()) or whole(members, *rest))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(texts), size=3, percent=85).collect()}
+    assert grouped == [0]  # the whole chain was one group, whose work is its square
+    assert got == {**{i: i for i in range(42)}, 40: 0}
