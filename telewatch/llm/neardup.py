@@ -6,13 +6,17 @@ symbol of a chunk out in turn (ERRORS = 1), so such a pair always shares a key.
 above what a similarity of 0.8 leads to (12.8).
 
 Equal shingle sets are one class from the start, and only one member of each class, its smallest id, is compared. Inside a
-bucket (the classes that share a key) every class is compared with the bucket's leader, the member that shares most with others. Of
+bucket (the classes that share a key) every class is compared with the bucket's leader, the member that shares most with others: first with the one
+leader that it shares most keys with, then with those that are still in another component. Of
 buckets of at most SMALL classes, all pairs that are then in different components are compared too. They are kept out of the groups below, as
 nearly all of them are unlike texts that met by chance: these grow faster than the input and would tie most of a large corpus into one group.
-No text is fetched for pairs of which more than FAR symbols differ (at a similarity of 0.8, fewer than one pair in 10 ** 13).
-Larger buckets that then hold several components are compared in whole, in groups of buckets that share members: a group is
+No text is fetched for pairs of which more than FAR symbols differ (at a similarity of 0.8, fewer than one pair in 10 ** 13; of lower similarities
+more may differ, by the same odds).
+In larger buckets that then hold several components, signatures are compared first, two blocks of BLOCK classes at a time in a task, as a common line brings many
+unlike texts into one bucket. Components that are near there form groups, and only classes that are near one of another component are taken in: a group is
 cut into blocks of about BLOCK classes or BLOCK_SHINGLES shingles, two blocks at a time meet in a task, and only links between different components leave it. So
-components are those of all links between classes that share a key. This last step takes time as the square of such a group over BLOCK.
+components are those of all links between classes that share a key. These last two steps take time as the square of such a bucket (64 symbols a pair) and of such a
+group (shingles) over BLOCK.
 
 Defined cases: a text without words has an empty set and links to nothing; a text of fewer words than a shingle has one shingle, all its words;
 rows with a null id have no component and are kept; rows that share an id are one document, linked if any of its texts is; further
@@ -21,6 +25,8 @@ columns are ignored by `near_duplicates` and kept by `without_copies`.
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -103,11 +109,18 @@ def _keyed(classes: DataFrame) -> DataFrame:
     return C.map_batches(classes.select("rep", "sig"), run, "rep long, key long")
 
 
-def _near(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, leader) of which at most FAR symbols differ."""
+def _far(percent: int) -> int:
+    """How many symbols may differ, FAR at least: fewer than one pair of this similarity in 10 ** 13 differs in more."""
+    p = 1 - percent / 100
+    share = [comb(SYMBOLS, k) * p ** k * (1 - p) ** (SYMBOLS - k) for k in range(SYMBOLS + 1)]
+    return max(FAR, next(d for d in range(SYMBOLS + 1) if sum(share[d + 1:]) < 1e-13))
+
+
+def _near(pairs: DataFrame, classes: DataFrame, far: int = FAR) -> DataFrame:
+    """Pairs (a, leader) of which at most `far` symbols differ."""
     def run(batch: pa.RecordBatch):
         x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, SYMBOLS) for k in (2, 3))
-        return batch.filter(pa.array((x != y).sum(axis=1) <= FAR)).select(["a", "leader"])
+        return batch.filter(pa.array((x != y).sum(axis=1) <= far)).select(["a", "leader"])
 
     side = lambda x: classes.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}"))
     both = pairs.join(side("a"), "a").join(side("leader"), "leader").select("a", "leader", "sig_a", "sig_leader")
@@ -143,6 +156,58 @@ def _linked_to_leaders(pairs: DataFrame, texts: DataFrame, size: int, percent: i
     return materialise(C.map_batches(both, run, "a long, leader long"), "linked")
 
 
+def _block_near(rows: list[dict], far: int) -> tuple[list[int], list[int], list[int]]:
+    """Classes of the two blocks of `rows` (or of the only one) that are at most `far` symbols from one of another component: class, component and the
+    smallest component that its own reaches over such pairs."""
+    first = rows[0]["block"]
+    x = [r for r in rows if r["block"] == first]
+    y = [r for r in rows if r["block"] != first] or x
+    xs, ys = (np.frombuffer(b"".join(r["sig"] for r in side), np.uint16).reshape(-1, SYMBOLS) for side in (x, y))
+    of, at = np.unique(np.array([r["component"] for r in x] + [r["component"] for r in y]), return_inverse=True)
+    xp, yp, columns = at[:len(x)], at[len(x):], np.ascontiguousarray(ys.T)
+    near, meet = [], []
+    for low in range(0, len(x) if len(of) > 1 else 0, 64):  # few enough rows that counts stay in the cache
+        some = xs[low:low + 64]
+        same = np.zeros((len(some), len(y)), np.uint8)
+        for k in range(SYMBOLS):
+            same += some[:, k, None] == columns[k]
+        i, j = np.nonzero((same >= SYMBOLS - far) & (xp[low:low + 64, None] != yp))
+        near += [i + low, j + len(x)]
+        meet.append(np.unique(xp[i + low] * len(of) + yp[j]))
+    members = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
+    a, b = np.divmod(np.unique(np.concatenate(meet)), len(of)) if meet else (members, members)
+    label = np.arange(len(of))
+    while True:
+        least, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    rep = np.array([r["rep"] for r in x] + [r["rep"] for r in y])
+    return rep[members].tolist(), of[at[members]].tolist(), of[label[at[members]]].tolist()
+
+
+def _near_in_buckets(members: DataFrame, classes: DataFrame, far: int) -> DataFrame:
+    """From `members` (key, rep, component, n), classes that are near one of another component in the same bucket, block by block of a bucket: rep,
+    component and other, a component that its own reaches over such pairs."""
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    each = placed.select("key", "rep", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    each = each.select("rep", "component", "block", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("shard"))
+    full = each.join(classes.select("rep", "sig"), "rep")
+
+    def run(batches):
+        for _, rows in C.by_shard(batches):
+            found = _block_near(rows, far)
+            if found[0]:
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in zip(("rep", "component", "other"), found)})
+
+    dealt = full.select("shard", "rep", "component", "block", "sig").repartition("shard").sortWithinPartitions("shard")
+    return materialise(dealt.mapInArrow(run, "rep long, component long, other long"), "near")
+
+
 def _block_links(rows: list[dict], percent: int) -> list[tuple[int, int]]:
     """Links between the two blocks of `rows` (or inside the only one) and between different components, one for each member and component
     that it meets. Common shingles of all pairs are one matrix product, some columns at a time; shingles of one side alone are left out."""
@@ -216,26 +281,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     heaviest = F.max(F.struct("weight", (-F.col("rep")).alias("minus"))).alias("m")
     leaders = materialise(members.join(weight, "rep").groupBy("key").agg(heaviest).select("key", (-F.col("m.minus")).alias("leader")), "leaders")
-    led = members.join(leaders, "key").filter("rep <> leader").select(F.col("rep").alias("a"), "leader").distinct()
-    pairs = materialise(_near(led, classes), "pairs")
-    others = materialise(_near(_pairs_in_small(members), classes), "pairs")
-    large = members.where(F.col("n") > SMALL).select("key", "rep")
+    led = members.join(leaders, "key").filter("rep <> leader").groupBy(F.col("rep").alias("a"), "leader").agg(F.count("*").alias("keys"))
+    led, far = materialise(led, "led"), _far(percent)
+    pairs = materialise(_near(led.select("a", "leader"), classes, far), "pairs")
+    closest = pairs.join(led, ["a", "leader"]).groupBy("a").agg(F.max(F.struct("keys", (-F.col("leader")).alias("minus"))).alias("m"))
+    closest = materialise(closest.select("a", (-F.col("m.minus")).alias("leader")), "closest")
+    others = materialise(_near(_pairs_in_small(members), classes, far), "pairs")
+    large = members.where(F.col("n") > SMALL).select("key", "rep", "n")
     ids = pairs.unionByName(others).select(F.explode(F.array("a", "leader")).alias("doc_id")).unionByName(large.select(F.col("rep").alias("doc_id"))).distinct()
     texts = materialise(whole.join(ids.hint("merge"), "doc_id", "left_semi"), "texts")  # the ids have no bound
-    links = _linked_to_leaders(pairs, texts, size, percent)
+    links = _linked_to_leaders(closest, texts, size, percent)
     found = components(links, "a", "leader")
     label = lambda x: found.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
     apart = F.coalesce("of_a", "a") != F.coalesce("of_leader", "leader")
-    rest = others.join(label("a"), "a", "left").join(label("leader"), "leader", "left").where(apart).select("a", "leader")
+    rest = pairs.join(closest, ["a", "leader"], "left_anti").unionByName(others).distinct()
+    rest = rest.join(label("a"), "a", "left").join(label("leader"), "leader", "left").where(apart).select("a", "leader")
     links = links.unionByName(_linked_to_leaders(materialise(rest, "pairs"), texts, size, percent)).select("a", F.col("leader").alias("b"))
     found = components(links).withColumnRenamed("node", "rep")
 
-    # Larger buckets that hold several components: their members, in groups of buckets that share members.
+    # Larger buckets that hold several components: classes near one of another component, in groups of components that are near.
     parted = materialise(large.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "parted")
     several = parted.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
-    left = materialise(parted.join(materialise(several, "open"), "key"), "left")
-    groups = components(left.join(leaders, "key").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct())
-    inside = left.select("rep", "component").distinct().join(groups.select(F.col("node").alias("rep"), F.col("component").alias("group")), "rep")
+    near = _near_in_buckets(parted.join(materialise(several, "open"), "key"), classes, far)
+    groups = components(near.select(F.col("component").alias("a"), F.col("other").alias("b")).distinct())
+    inside = near.select("rep", "component").distinct().join(groups.select(F.col("node").alias("component"), F.col("component").alias("group")), "component")
     found = components(links.unionByName(_linked_in_groups(inside, texts, size, percent))).withColumnRenamed("node", "rep")
 
     reps = classes.select("name1", "name2", "rep").join(found, "rep", "left").select("name1", "name2", F.coalesce("component", "rep").alias("component"))

@@ -113,3 +113,34 @@ def test_chance_meetings_form_no_group(documents, monkeypatch):
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(texts), size=3, percent=85).collect()}
     assert grouped == [0]  # the whole chain was one group, whose work is its square
     assert got == {**{i: i for i in range(42)}, 40: 0}
+
+
+def test_unlike_texts_of_a_large_bucket_form_no_group(documents, monkeypatch):
+    line = [f"line{j}" for j in range(60)]
+    texts = [" ".join(line + [f"own{i}x{j}" for j in range(150)]) for i in range(120)]  # unlike but for a common line
+    copy = texts[0].split()
+    texts += [" ".join(copy[:k] + copy[k + 1:]) for k in range(100, 112)]
+    grouped, whole, shared = [], neardup._linked_in_groups, []
+    near = neardup._near_in_buckets
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "_near_in_buckets", lambda members, *rest: shared.append(members.select("rep").distinct().count()) or near(members, *rest))
+    monkeypatch.setattr(neardup, "_linked_in_groups", lambda members, *rest: grouped.append(members.count()) or whole(members, *rest))
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(documents(texts)).collect()}
+    assert shared[0] > 20 and grouped == [0]  # all of them were one group, compared shingle by shingle
+    assert got == {i: 0 if i >= 120 else i for i in range(132)}
+
+
+def test_classes_near_another_component():
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 1 << 16, (9, neardup.SYMBOLS)).astype(np.uint16)
+    sig[[1, 2, 5]] = sig[0]
+    sig[1, :30], sig[2, :41] = 7, 8  # 30 and 41 symbols from the first; 41 from each other
+    sig[6] = sig[5]
+    row = lambda i, block, component: {"block": block, "rep": i, "component": component, "sig": sig[i].tobytes()}
+    one = [row(i, 0, c) for i, c in enumerate([0, 1, 2, 3, 4])]
+    two = [row(5, 1, 1), row(6, 1, 6), row(7, 1, 4), row(8, 1, 3)]
+    assert neardup._block_near(one, 40) == ([0, 1], [0, 1], [0, 0])
+    assert sorted(zip(*neardup._block_near(one + two, 40))) == [(0, 0, 0), (1, 1, 0), (5, 1, 0), (6, 6, 0)]
+    assert neardup._block_near(two[2:], 40) == ([], [], [])
+    assert neardup._far(85) == neardup._far(80) == neardup.FAR and neardup._far(50) > 55
