@@ -1,3 +1,4 @@
+import inspect
 import math
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from telewatch.operators import clustering as C
 from telewatch.operators import diagnostics as X
 from telewatch.operators import review as R
+from telewatch.operators import spanning as S
 
 EPISODES = ("station_id string, start_hour timestamp, end_hour timestamp, duration_hours long, n_events long, n_channels long, affected_channels string, "
             "n_sensor_groups long, affected_sensor_groups string, dominant_detector string, detector_concordance int, max_abs_zscore double, "
@@ -140,3 +142,48 @@ def test_one_pass_over_pairs_gives_the_trees_of_all_samples(spark):
         core = np.sort(d, axis=1)[:, ms - 1]
         _, _, least = C._prim(np.maximum(np.maximum(d, core[:, None]), core))
         assert C._forest(both[both["min_samples"] == ms])["w"].sum() == pytest.approx(least.sum())
+
+
+@pytest.mark.parametrize("cell", [3, 16])
+def test_search_by_boxes_gives_the_trees_of_all_pairs(spark, monkeypatch, cell):
+    monkeypatch.setattr(S, "PART", 40)
+    monkeypatch.setattr(S, "FEW", 2)
+    rng = np.random.default_rng(cell)
+    x = np.concatenate([np.round(rng.normal(c, 0.4, size=(40, 3)), 1) for c in (0, 5, (0, 9, 0))] + [[[60.0, -60, 0]], rng.normal(0, 30, size=(9, 3))])
+    x = x[rng.permutation(np.append(np.arange(len(x)), [0, 0, 0, 1, 129]))]  # copies too, fewer and more than the samples
+    points = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id long, vector array<double>")
+    both = S.trees(points, [1, 4], cell).toPandas()
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for ms in (1, 4):
+        core = np.sort(d, axis=1)[:, ms - 1]
+        reach = np.maximum(np.maximum(d, core[:, None]), core)
+        tree = both[both["min_samples"] == ms]
+        assert len(tree) == len(C._forest(tree)) == len(x) - 1 and tree["w"].to_numpy() == pytest.approx(reach[tree["a"], tree["b"]])
+        assert np.sort(tree["w"]) == pytest.approx(np.sort(C._prim(reach)[2]))
+
+
+def test_more_episodes_than_all_pairs_can_take(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    kinds = [("anemometer", "stuck"), ("barometer", "zscore"), ("rain_gauge", "physical")]
+    rows = [episode(i, station=f"S{i % 4}", groups=kinds[i % 3][0], detector=kinds[i % 3][1], z=5 + float(rng.normal(0, .05)), hours=2 + i % 2)
+            for i in range(60)]
+    df = spark.createDataFrame(rows, EPISODES)
+    of = lambda out: {r.start_hour: (r.cluster_label, round(r.cluster_probability, 9)) for r in out.collect()}
+    pairs = of(C.cluster_episodes(df, 8, 3))
+    assert inspect.signature(C.cluster_episodes).parameters["max_episodes"].default is None  # 200,000 of them were refused
+    assert inspect.signature(X.parameter_sweep).parameters["max_episodes"].default is None
+    taken, whole = [], S.trees
+    monkeypatch.setattr(C, "PAIRED", 0)
+    monkeypatch.setattr(C, "searched_trees", lambda points, samples: taken.append(list(samples)) or whole(points, samples, 7))
+    found = of(C.cluster_episodes(df, 8, 3))
+    assert taken == [[3]] and set(found) == set(pairs)
+    names = {(found[t][0], pairs[t][0]) for t in pairs}
+    assert len(names) == len({a for a, _ in names}) == len({b for _, b in names}) >= 3  # the same clusters by other numbers
+    assert all(found[t][1] == pairs[t][1] for t in pairs)
+    assert len(X.parameter_sweep(df, [(8, 3), (8, 1)]).collect()) == 2 and taken[-1] == [1, 3]
+
+
+def test_a_single_vector(spark):
+    points = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "id long, vector array<double>")
+    tree = S.trees(points, [1, 5]).toPandas()
+    assert sorted(zip(tree["min_samples"], tree["a"], tree["b"], tree["w"])) == [(ms, 0, i, 0.0) for ms in (1, 5) for i in range(1, 5)]
