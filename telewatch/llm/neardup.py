@@ -172,7 +172,7 @@ def _block_near(rows: list[dict], far: int) -> tuple[list[int], list[int], list[
         for k in range(SYMBOLS):
             same += some[:, k, None] == columns[k]
         i, j = np.nonzero((same >= SYMBOLS - far) & (xp[low:low + 64, None] != yp))
-        near += [i + low, j + len(x)]
+        near += [i + low, j if y is x else j + len(x)]
         meet.append(np.unique(xp[i + low] * len(of) + yp[j]))
     members = np.unique(np.concatenate(near)) if near else np.zeros(0, np.int64)
     a, b = np.divmod(np.unique(np.concatenate(meet)), len(of)) if meet else (members, members)
